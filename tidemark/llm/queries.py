@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linequality, packing, sharding, tokenframes
+from tidemark.llm import linequality, minhash, packing, sharding, tokenframes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, share=80)
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return linequality.clean_lines(docs).drop("text", "clean_text")
@@ -43,7 +47,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op7_line_quality, op8_token_frames, op10_sampled_splitters)
+    for f in (op1_packing, op6_minhash_components, op7_line_quality, op8_token_frames, op10_sampled_splitters)
 }
 
 ORACLE_SQL: dict[str, str] = {}
