@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linequality, minhash, packing, sharding, tokenframes
+from tidemark.llm import linequality, minhash, packing, rlz, sharding, tokenframes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenframes.read_token_files(manifest)
 
 
+def op9_rlz_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, with_text=False)
+
+
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -47,7 +51,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op6_minhash_components, op7_line_quality, op8_token_frames, op10_sampled_splitters)
+    for f in (op1_packing, op6_minhash_components, op7_line_quality, op8_token_frames, op9_rlz_repeats, op10_sampled_splitters)
 }
 
 ORACLE_SQL: dict[str, str] = {}
