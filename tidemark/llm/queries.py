@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linequality, minhash, packing, rlz, sharding, tokenframes
+from tidemark.llm import linequality, minhash, packing, rlz, sharding, tokenframes, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vafile.top_k(vectors, lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, share=80)
 
@@ -51,7 +56,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op6_minhash_components, op7_line_quality, op8_token_frames, op9_rlz_repeats, op10_sampled_splitters)
+    for f in (op1_packing, op2_va_file_top_k, op6_minhash_components, op7_line_quality, op8_token_frames, op9_rlz_repeats, op10_sampled_splitters)
 }
 
 ORACLE_SQL: dict[str, str] = {}
