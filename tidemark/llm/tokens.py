@@ -18,21 +18,34 @@ import numpy as np
 _IRREGULAR = re.compile(rb" [\x00-\x20]| \Z|[\x00-\x1f] |\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
 
 
+#: A word of Latin letters and its closing marks: two pre-tokens at most, whatever stands around them.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:]*)")
+
+
+def byte_symbols() -> list[str]:
+    """The visible character by which byte-level files write each byte."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class _Chunks(dict):
-    def __init__(self, encode, before: str, limit: int):
-        self.encode, self.before, self.limit = encode, before, limit
+    """Ids of chunks; a full memory keeps what it holds, as frequent chunks come early."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = out = self.encode(self.before + chunk.decode())
+        out = self.encode(chunk)
+        if len(self) < self.limit:
+            self[chunk] = out
         return out
 
 
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers (bytes)."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,11 +55,31 @@ class TextEncoder:
         state = self.tokenizer.to_str()
         self.keeps_space = '"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":true' in state.split('"post_processor"')[0]
         self.drops_space = '"end_of_word_suffix":"</w>"' in state and '"behavior":"Removed","invert":true' in state
-        self.chunks, self.spaced = _Chunks(self.library, "", limit), _Chunks(self.library, " ", limit)
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
+        self.chunks, self.spaced = _Chunks(self._chunk, limit), _Chunks(lambda chunk: self._chunk(chunk, b" "), limit)
+        self.words = _Chunks(self._word, limit)
+        self.marks = _Chunks(lambda marks: self.library(marks.decode()), 10_000)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _chunk(self, chunk: bytes, before: bytes = b"") -> bytes:
+        plain = _PLAIN.fullmatch(chunk)
+        if plain is None:
+            return self.library((before + chunk).decode())
+        word, marks = plain.groups()
+        if self.drops_space:
+            word = word.decode().lower().encode()
+        ids = self.words[before + word]
+        return ids + self.marks[marks] if marks else ids
+
+    def _word(self, word: bytes) -> bytes:
+        """Such a word is one pre-token, so the library's model can be asked for it at once."""
+        start = self.symbols[32] if word[0] == 32 else ""
+        bare = word[1:] if start else word
+        symbols = start + (bare.decode() if bare.isalpha() else "".join([self.symbols[b] for b in bare]))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols)])
+
     def encode(self, text: bytes) -> bytes:
         if self.drops_space:  # no token holds white space, so texts are cut at all ASCII white space
             return b"".join(map(self.chunks.__getitem__, text.split()))
