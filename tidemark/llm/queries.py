@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linequality, minhash, packing, rlz, sharding, tokenframes, vafile
+from tidemark.llm import bpetree, linequality, minhash, packing, revisit, rlz, sharding, tokenframes, toxicity, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,43 @@ def op2_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(vectors, lambda vec_id: vec_id % 20 == 0, k=20)
 
 
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels)).drop("text")
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """A crawl's records of the pages: a full response each, then a conditional request that gets a 304.
+
+    Every seventh page has changed its entity tag since, and every eleventh sends no tag but a date.
+    """
+    page, html = F.col("page_id"), F.coalesce(F.col("html"), F.lit(""))
+    tag, changed = F.md5(html.cast("binary")), F.concat(F.lit("day "), page % 28)
+    empty = F.lit(None).cast("string")
+    tagged = page % 11 != 0
+    full = F.struct(
+        (page * 2).alias("record_id"), page.alias("time"), F.lit(200).alias("status"), F.when(tagged, tag).alias("etag"), changed.alias("last_modified"),
+        F.create_map(F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), F.octet_length(html).cast("string"), F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag).alias("headers"),
+    )
+    sent = F.when(page % 7 == 0, F.concat(tag, F.lit("-new"))).otherwise(F.concat(F.lit("W/"), tag))
+    again = F.struct(
+        (page * 2 + 1).alias("record_id"), (page + 50).alias("time"), F.lit(304).alias("status"), F.when(tagged, sent).alias("etag"), F.when(page % 13 != 0, changed).otherwise(empty).alias("last_modified"),
+        F.create_map(F.lit("cache-control"), F.lit("max-age=120"), F.lit("content-length"), F.lit("0"), F.lit("date"), F.concat(F.lit("day "), page % 31)).alias("headers"),
+    )
+    return pages.select("url", F.explode(F.array(full, again)).alias("r")).select("url", "r.*")
+
+
+def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisit.resolve(captures(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return out.withColumn("headers", F.array_join(lines, "; "))
+
+
+def op5_tree_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpetree.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, share=80)
 
@@ -56,7 +93,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_va_file_top_k, op6_minhash_components, op7_line_quality, op8_token_frames, op9_rlz_repeats, op10_sampled_splitters)
+    for f in (op1_packing, op2_va_file_top_k, op3_ordinal_toxicity, op4_revisit_resolution, op5_tree_concatenation, op6_minhash_components, op7_line_quality, op8_token_frames, op9_rlz_repeats, op10_sampled_splitters)
 }
 
 ORACLE_SQL: dict[str, str] = {}
