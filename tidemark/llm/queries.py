@@ -96,4 +96,34 @@ QUERIES = {
     for f in (op1_packing, op2_va_file_top_k, op3_ordinal_toxicity, op4_revisit_resolution, op5_tree_concatenation, op6_minhash_components, op7_line_quality, op8_token_frames, op9_rlz_repeats, op10_sampled_splitters)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CANONICAL = r"""
+bare1 AS (SELECT page_id, html, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://', '') AS b FROM pages),
+bare2 AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b,
+    '([?&])(?:utm_[a-z]+|ref|gclid|fbclid)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS b FROM bare1),
+canon AS (SELECT page_id, html,
+    regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_extract(b, '^[^/?]*(.*)$', 1), '/+$', '') AS u FROM bare2)
+"""
+
+OP4_SQL = f"""
+WITH {_CANONICAL},
+asked AS (
+  SELECT a.page_id, a.u, max(b.page_id) AS r FROM canon a
+  LEFT JOIN canon b ON a.u = b.u AND b.page_id < a.page_id + 50 GROUP BY 1, 2),
+pairs AS (
+  SELECT a.page_id * 2 + 1 AS record_id, a.u AS canonical_url, r * 2 AS response_id, md5(p.html) AS r_tag, octet_length(encode(p.html)) AS n,
+    a.page_id % 31 AS day,
+    CASE WHEN r IS NULL THEN 'missing'
+      WHEN a.page_id % 11 != 0 AND r % 11 != 0 THEN
+        CASE WHEN md5(q.html) || (CASE WHEN a.page_id % 7 = 0 THEN '-new' ELSE '' END) = md5(p.html) THEN 'resolved' ELSE 'mismatch' END
+      WHEN a.page_id % 13 != 0 THEN CASE WHEN a.page_id % 28 = r % 28 THEN 'resolved' ELSE 'mismatch' END
+      ELSE 'unchecked' END AS resolution
+  FROM asked a LEFT JOIN canon p ON p.page_id = r JOIN canon q ON q.page_id = a.page_id)
+SELECT record_id, canonical_url, response_id, resolution,
+  CASE WHEN resolution = 'resolved'
+    THEN 'cache-control: max-age=120; content-length: ' || n || '; content-type: text/html; date: day ' || day || '; etag: ' || r_tag
+    ELSE 'cache-control: max-age=120; content-length: 0; date: day ' || day END AS headers
+FROM pairs
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_revisit_resolution": OP4_SQL}

@@ -1,8 +1,9 @@
 """Severity of toxic text by cumulative-link ordinal regression.
 
 A document's chance of a grade above j is sigmoid(w . x - theta_j): one weight vector for
-all thresholds, and thresholds that ascend.  x is sparse: log(1 + count) of the words that
-the labelled sample tells apart.  The expected severity is the mean grade.
+all thresholds, and thresholds that ascend.  x is sparse: log(1 + count) of the words and
+beginnings of words (stems, roughly) that the labelled sample tells apart.  The expected
+severity is the mean grade.
 
 Labels only say toxic or not, so the toxic documents of the sample are graded by how many
 words occur in them that go with the label: few (1), several (2), many (3).
@@ -10,8 +11,9 @@ words occur in them that go with the label: few (1), several (2), many (3).
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,25 +24,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W\d_]+")
+STEMS = (4, 5, 6, 7)  # characters of the beginnings that count beside the whole word
 GRADE_FROM = (1, 3, 6)  # words that go with the label, from which grades 1, 2 and 3 begin
 
 
+def features_of(word: str) -> list[str]:
+    return [word, *(word[:k] + "-" for k in STEMS if len(word) > k)]
+
+
+def count_features(text: str) -> Counter:
+    out: Counter = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for f in features_of(word):
+            out[f] += n
+    return out
+
+
 @dataclass
 class Severity:
-    """Weights by word, ascending thresholds, and the chance of a grade above 0 that rejects."""
+    """Weights by feature, ascending thresholds, and the chance of a grade above 0 that rejects."""
 
     weights: dict[str, float]
     thresholds: np.ndarray
     reject_at: float = 0.5
+    memory: int = 400_000
+
+    def __post_init__(self):
+        self.known: dict[str, tuple[str, ...]] = {}  # features with a weight, by word
 
     def above(self, text: str) -> np.ndarray:
         """The chances of a grade above 0, 1, ...; a text without known words has those of the rest."""
-        known = [w for w in WORD.findall(text.lower()) if w in self.weights]
-        score = sum(self.weights[w] * np.log1p(n) for w, n in Counter(known).items())
+        counts: dict[str, int] = {}
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            own = self.known.get(word)
+            if own is None:
+                own = tuple(f for f in features_of(word) if f in self.weights)
+                if len(self.known) < self.memory:
+                    self.known[word] = own
+            for f in own:
+                counts[f] = counts.get(f, 0) + n
+        score = sum(self.weights[f] * np.log1p(n) for f, n in counts.items())
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -50, 50)))
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, features: int, levels: int, l2: float = 1e-3, steps: int = 250, rate: float = 0.1):
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, features: int, levels: int, l2: float = 2e-4, steps: int = 300, rate: float = 0.1):
     """(weights, thresholds) by gradient steps on the mean log-likelihood of a sparse sample."""
     n = len(grades)
     share = np.array([np.clip((grades > j).mean(), 1e-3, 1 - 1e-3) for j in range(levels - 1)])
@@ -85,29 +112,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean: int = 4000, least_documents: int = 4, least_z: float = 4.0, reject_at: float = 0.5) -> Severity:
     """Fit on a bounded sample: ``max_toxic`` and ``max_clean`` labelled documents at most.
 
-    Words count as features that occur in ``least_documents`` of the sample and whose share of
-    toxic and of other documents differs by ``least_z`` standard errors.  A sample without
+    Features are the words and stems that occur in ``least_documents`` of the sample and whose
+    mean value in toxic and in other documents differs by ``least_z`` standard errors.  A sample without
     documents of both kinds gives a model that grades everything 0.
     """
     sample = labelled_sample(docs, labels, max_toxic, max_clean)
-    counts = [Counter(WORD.findall(text.lower())) for text, _ in sample]
+    counts = [count_features(text) for text, _ in sample]
     toxic = np.array([k for _, k in sample], np.int64)
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n1 or not n0:
         return Severity({}, np.full(len(GRADE_FROM), 40.0), reject_at)
-    in_toxic, in_clean = Counter(), Counter()
+    seen, sums, squares = Counter(), (defaultdict(float), defaultdict(float)), defaultdict(float)
     for c, k in zip(counts, toxic):
-        (in_toxic if k else in_clean).update(c.keys())
-    features, lexicon = {}, set()
-    for word in sorted(set(in_toxic) | set(in_clean)):
-        a, b = in_toxic[word], in_clean[word]
-        if a + b >= least_documents:
-            p = (a + b) / (n1 + n0)
-            z = (a / n1 - b / n0) / max(1e-9, np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
-            if abs(z) >= least_z:
-                features[word] = len(features)
-                if z > 0 and a / n1 > 10 * b / n0:
-                    lexicon.add(word)
+        seen.update(c.keys())
+        for f, n in c.items():
+            x = math.log1p(n)
+            sums[k][f] += x
+            squares[f] += x * x
+    features, lexicon, n = {}, set(), n1 + n0
+    for f in sorted(f for f, n_docs in seen.items() if n_docs >= least_documents):
+        a, b = sums[1][f] / n1, sums[0][f] / n0
+        spread = squares[f] / n - ((sums[1][f] + sums[0][f]) / n) ** 2
+        z = (a - b) / max(1e-9, math.sqrt(spread * (1 / n1 + 1 / n0)))
+        if abs(z) >= least_z:
+            features[f] = len(features)
+            if z > 0 and not f.endswith("-") and a > 10 * b:
+                lexicon.add(f)
     hits = np.array([sum(n for w, n in c.items() if w in lexicon) for c in counts])
     grades = np.where(toxic == 1, np.maximum(1, np.searchsorted(GRADE_FROM, hits, side="right")), 0)
     cells = [(i, features[w], np.log1p(n)) for i, c in enumerate(counts) for w, n in c.items() if w in features]
