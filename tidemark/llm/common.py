@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -11,22 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from tidemark.session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine) a temporary folder is set instead;
-    a cluster without the setting is refused, as executors would not see it.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -95,28 +81,34 @@ class WordHash(dict):
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Components of an undirected graph: ``(node, component)`` for each end of an edge.
 
-    ``edges`` has long columns ``a`` and ``b``.  ``component`` is the smallest node
-    that can be reached.  Each round takes the least label of the neighbours
-    (partially aggregated before the shuffle) and then jumps to the label's label,
-    so the number of rounds grows with the logarithm of the longest path.  All of
-    it stays distributed; a round is written before the next one begins.
+    ``edges`` has long columns ``a`` and ``b``; those with a null or equal ends do not count.
+    ``component`` is the smallest node that can be reached.  Each round points every node at
+    its least neighbour, if that is smaller (partially aggregated before the shuffle), and
+    from there once more; the edges are then drawn between what their ends point at, and
+    those within one node go.  At least half of the nodes that still have edges go in each
+    round, so the rounds are few and their rows, summed, a small multiple of the edges.  All
+    of it stays distributed; a round is written before the next one begins.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stage(both.filter("a is not null and b is not null").distinct(), label + "-edges")
-    labels = stage(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")),
-        label,
-    )
+
+    def drawn(a: str, b: str, rows: DataFrame) -> DataFrame:
+        low, high = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+        return stage(rows.filter(F.col(a) != F.col(b)).select(low, high).distinct(), label + "-edges")
+
+    left, named = drawn("a", "b", edges), None
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component")
-        told = stage(heard.union(labels.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")), label)
-        up = told.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        after = stage(
-            told.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), label
-        )
-        changed = after.join(labels.withColumnRenamed("component", "was"), "node").filter("component != was").limit(1).count()
-        discard(labels, told)
-        labels = after
-        if not changed:
-            discard(both)
-            return labels
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
+        hook = both.groupBy("node").agg(F.min("other").alias("other"))
+        hook = stage(hook.select("node", F.least("node", "other").alias("component")), label)
+        up = hook.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+        point = stage(hook.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), label)
+        if named is None:
+            named = point
+        else:
+            higher = point.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+            before, named = named, stage(named.join(higher, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), label)
+            discard(before)
+        ends = left.join(point.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
+        ends = ends.join(point.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+        left = drawn("x", "y", ends)
+        if left.isEmpty():
+            return named
