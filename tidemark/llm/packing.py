@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import stage, text_bytes
-from tidemark.llm.tokens import TextEncoder
+from tidemark.llm.tokens import encoder_for
 
 
 class Schedule:
@@ -141,7 +141,7 @@ def encode_queues(docs: DataFrame, tokenizer: str, source: Column, end_id: int,
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, reached = TextEncoder(tokenizer), {}
+        encoder, reached = encoder_for(tokenizer), {}
         for batch in batches:
             ids = [encoder.encode(t) + end for t in batch.column("_bytes").to_pylist()]
             firsts = []

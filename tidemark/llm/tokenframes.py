@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, stage, text_bytes
-from tidemark.llm.tokens import TextEncoder
+from tidemark.llm.tokens import encoder_for
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -119,7 +119,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, first, tokens, part = TextEncoder(tokenizer), None, 0, 0, 0
+        encoder, writer, first, tokens, part = encoder_for(tokenizer), None, 0, 0, 0
         for batch in batches:
             for doc_id, text_, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if writer is None:

@@ -19,7 +19,9 @@ _IRREGULAR = re.compile(rb" [\x00-\x20]| \Z|[\x00-\x1f] |\xc2[\x85\xa0]|\xe1\x9a
 
 
 #: A word of Latin letters and its closing marks: two pre-tokens at most, whatever stands around them.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:]*)")
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Lines in a chunk: a line feed between two visible characters is a pre-token of its own.
+_LINES = re.compile(rb"[^\x00-\x20\x7f]+(?:\n[^\x00-\x20\x7f]+)+")
 
 
 def byte_symbols() -> list[str]:
@@ -45,7 +47,7 @@ class _Chunks(dict):
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers (bytes)."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,6 +60,7 @@ class TextEncoder:
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.chunks, self.spaced = _Chunks(self._chunk, limit), _Chunks(lambda chunk: self._chunk(chunk, b" "), limit)
         self.words = _Chunks(self._word, limit)
+        self.line_feed = self.library("\n")
         self.marks = _Chunks(lambda marks: self.library(marks.decode()), 10_000)
 
     def library(self, text: str) -> bytes:
@@ -66,6 +69,9 @@ class TextEncoder:
     def _chunk(self, chunk: bytes, before: bytes = b"") -> bytes:
         plain = _PLAIN.fullmatch(chunk)
         if plain is None:
+            if self.keeps_space and _LINES.fullmatch(chunk):
+                first, *rest = chunk.split(b"\n")
+                return (self.spaced if before else self.chunks)[first] + b"".join([self.line_feed + self.chunks[line] for line in rest])
             return self.library((before + chunk).decode())
         word, marks = plain.groups()
         if self.drops_space:
@@ -87,3 +93,13 @@ class TextEncoder:
             first, *rest = text.split(b" ")
             return b"".join([self.chunks[first], *map(self.spaced.__getitem__, rest)]) if first else b"".join(map(self.spaced.__getitem__, rest))
         return self.library(text.decode())
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def encoder_for(path: str) -> TextEncoder:
+    """The encoder of this Python worker, which outlives a task with what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]
