@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import discard, stage
+
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)  # characters of the beginnings that count beside the whole word
 GRADE_FROM = (1, 3, 6)  # words that go with the label, from which grades 1, 2 and 3 begin
@@ -98,55 +100,84 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return state[:features], theta
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> list[tuple[str, int]]:
-    """At most so many labelled texts of each kind, chosen by a hash of their id."""
-    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = None
-    for kind, most in ((1, max_toxic), (0, max_clean)):
-        own = known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        drawn = own if drawn is None else drawn.union(own)
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # max_toxic + max_clean rows
-    return [(r.text, r.toxic) for r in rows.select("text", "toxic").limit(2 * (max_toxic + max_clean)).collect()]
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
+    """(toxic, text) of at most so many labelled documents of each kind, chosen by a hash of their id."""
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    drawn = [
+        known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        for kind, most in ((1, max_toxic), (0, max_clean))
+    ]
+    texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text")
+    rows = texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # max_toxic + max_clean rows
+    return rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
+
+
+def _values(sample: DataFrame) -> DataFrame:
+    """(toxic, feature, x), a row for each feature of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                own = count_features(text)
+                x = np.log1p(np.fromiter(own.values(), np.float64, len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.int64()), pa.array(list(own), pa.string()), pa.array(x)], names=["toxic", "feature", "x"])
+
+    return sample.mapInArrow(run, "toxic long, feature string, x double")
+
+
+def _cells(sample: DataFrame, features: dict[str, int], lexicon: set[str]) -> DataFrame:
+    """A row for each document: toxic, words of the lexicon, and its cells of the chosen features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for kind, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                own = count_features(text)
+                known = [f for f in own if f in features]
+                out.append({"toxic": kind, "hits": sum(own[f] for f in known if f in lexicon), "columns": [features[f] for f in known], "x": [math.log1p(own[f]) for f in known]})
+            schema = pa.schema([("toxic", pa.int64()), ("hits", pa.int64()), ("columns", pa.list_(pa.int64())), ("x", pa.list_(pa.float64()))])
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return sample.mapInArrow(run, "toxic long, hits long, columns array<long>, x array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean: int = 4000, least_documents: int = 4, least_z: float = 4.0, reject_at: float = 0.5) -> Severity:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_clean: int = 4000, max_features: int = 8000, least_documents: int = 4, least_z: float = 4.0, reject_at: float = 0.5
+) -> Severity:
     """Fit on a bounded sample: ``max_toxic`` and ``max_clean`` labelled documents at most.
 
     Features are the words and stems that occur in ``least_documents`` of the sample and whose
-    mean value in toxic and in other documents differs by ``least_z`` standard errors.  A sample without
-    documents of both kinds gives a model that grades everything 0.
+    mean value in toxic and in other documents differs by ``least_z`` standard errors, at most
+    ``max_features`` of them; only these reach the driver.  A sample without documents of both
+    kinds gives a model that grades everything 0.  Of labels that share an id the largest counts.
     """
-    sample = labelled_sample(docs, labels, max_toxic, max_clean)
-    counts = [count_features(text) for text, _ in sample]
-    toxic = np.array([k for _, k in sample], np.int64)
-    n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    nothing = Severity({}, np.full(len(GRADE_FROM), 40.0), reject_at)
+    sample = stage(labelled_sample(docs, labels, max_toxic, max_clean), "toxicity-sample")
+    kinds = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n1, n0 = kinds.get(1, 0), kinds.get(0, 0)
     if not n1 or not n0:
-        return Severity({}, np.full(len(GRADE_FROM), 40.0), reject_at)
-    seen, sums, squares = Counter(), (defaultdict(float), defaultdict(float)), defaultdict(float)
-    for c, k in zip(counts, toxic):
-        seen.update(c.keys())
-        for f, n in c.items():
-            x = math.log1p(n)
-            sums[k][f] += x
-            squares[f] += x * x
-    features, lexicon, n = {}, set(), n1 + n0
-    for f in sorted(f for f, n_docs in seen.items() if n_docs >= least_documents):
-        a, b = sums[1][f] / n1, sums[0][f] / n0
-        spread = squares[f] / n - ((sums[1][f] + sums[0][f]) / n) ** 2
-        z = (a - b) / max(1e-9, math.sqrt(spread * (1 / n1 + 1 / n0)))
-        if abs(z) >= least_z:
-            features[f] = len(features)
-            if z > 0 and not f.endswith("-") and a > 10 * b:
-                lexicon.add(f)
-    hits = np.array([sum(n for w, n in c.items() if w in lexicon) for c in counts])
+        return nothing
+    n = n1 + n0
+    sums = _values(sample).groupBy("feature").agg(
+        F.count("*").alias("n"), F.sum(F.col("x") * F.col("toxic")).alias("s1"), F.sum(F.col("x") * (1 - F.col("toxic"))).alias("s0"), F.sum(F.col("x") * F.col("x")).alias("q")
+    )
+    spread = F.col("q") / n - F.pow((F.col("s1") + F.col("s0")) / n, F.lit(2))
+    z = (F.col("s1") / n1 - F.col("s0") / n0) / F.greatest(F.lit(1e-9), F.sqrt(F.greatest(F.lit(0.0), spread) * (1 / n1 + 1 / n0)))
+    chosen = sums.filter(F.col("n") >= least_documents).withColumn("z", z).filter(F.abs("z") >= least_z)
+    chosen = sorted(chosen.orderBy(F.desc(F.abs("z")), "feature").limit(max_features).collect(), key=lambda r: r.feature)
+    if not chosen:
+        return nothing
+    features = {r.feature: k for k, r in enumerate(chosen)}
+    lexicon = {r.feature for r in chosen if r.z > 0 and not r.feature.endswith("-") and r.s1 / n1 > 10 * r.s0 / n0}
+    cells = _cells(sample, features, lexicon).collect()  # max_toxic + max_clean rows
+    toxic, hits = (np.array([r[c] for r in cells], np.int64) for c in ("toxic", "hits"))
     grades = np.where(toxic == 1, np.maximum(1, np.searchsorted(GRADE_FROM, hits, side="right")), 0)
-    cells = [(i, features[w], np.log1p(n)) for i, c in enumerate(counts) for w, n in c.items() if w in features]
-    if not cells:
-        return Severity({}, np.full(len(GRADE_FROM), 40.0), reject_at)
-    rows, columns, values = (np.array(x) for x in zip(*cells))
-    # Toxic documents are drawn more often than they occur; the thresholds keep the sample's balance.
+    rows = np.repeat(np.arange(len(cells)), [len(r.columns) for r in cells])
+    columns = np.array([c for r in cells for c in r.columns], np.int64)
+    values = np.array([x for r in cells for x in r.x], np.float64)
     weights, theta = fit_ordinal(rows, columns, values, grades, len(features), len(GRADE_FROM) + 1)
-    return Severity({w: float(weights[k]) for w, k in features.items()}, theta, reject_at)
+    discard(sample)
+    return Severity({f: float(weights[k]) for f, k in features.items()}, theta, reject_at)
 
 
 FIELDS = ["expected_severity", "p_toxic", "grade", "rejected"]
