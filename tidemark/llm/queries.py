@@ -126,4 +126,62 @@ SELECT record_id, canonical_url, response_id, resolution,
 FROM pairs
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_revisit_resolution": OP4_SQL}
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id != b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+OP6_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS s FROM w, unnest(range(1, greatest(2, len(ws) - 2))) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reach(node, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.node, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.other),
+least_of AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least_of ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+OP7_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS ws FROM documents),
+triples AS (SELECT doc_id, i, ws[i : i + 2] AS t FROM w, unnest(range(1, greatest(1, len(ws) - 1))) AS u(i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS n FROM triples) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) AS k(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, {_WORDS.format("line")} AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)),
+judged AS (SELECT doc_id, line, len(ws) AS n,
+    4 * len(regexp_extract_all(line, '[|»›•·→]')) >= len(ws)
+    OR len(regexp_extract_all(line, '[#*$%&<>!]')) > 0.3::DOUBLE * len(ws) + 1
+    OR (len(ws) < 8 AND NOT regexp_matches(line, '[.!?:;…。！？”’»]["'')\]}}*_]*[\x20\x09-\x0D]*$'))
+    OR (len(ws) <= 30 AND regexp_matches(line, 'all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings)|accept cookies|click here|sign up|log ?in\b|subscribe (?:now|to)|javascript|powered by|lorem ipsum|back to top|skip to content|share (?:this|on)', 'i')) AS bad
+  FROM lines WHERE len(ws) > 0),
+by_doc AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (bad) AS removed, coalesce(sum(n) FILTER (bad), 0) AS lost FROM judged GROUP BY doc_id),
+figures AS (SELECT w.doc_id, len(ws) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    coalesce(dup, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(removed, 0) AS n_lines_removed, CAST(coalesce(lost, 0) AS BIGINT) AS n_words_removed
+  FROM w LEFT JOIN repeats USING (doc_id) LEFT JOIN by_doc USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_removed <= 0.5::DOUBLE * n_words AS kept FROM figures
+"""
+
+OP9_SQL = rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS t FROM w, unnest(range(1, greatest(1, len(ws) - 33))) AS u(i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY t) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM twice, range(0, 35) AS k(j)),
+stays AS (SELECT p.doc_id, p.i, p.word FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM stays GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+#: The others need a tokenizer, a fitted model or a sample; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_va_file_top_k": OP2_SQL, "op4_revisit_resolution": OP4_SQL, "op6_minhash_components": OP6_SQL, "op7_line_quality": OP7_SQL, "op9_rlz_repeats": OP9_SQL,
+}
