@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
+from tidemark.llm.tokens import encoder_for
 
 AGREE = 3
 
@@ -33,15 +34,8 @@ class Part:
 
 
 def load_tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+    """One tokenizer for each Python worker."""
+    return encoder_for(path).tokenizer
 
 
 def encode_part(tokenizer, text: str, begin: int, end: int) -> Part:
@@ -135,12 +129,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(path)
+        encoder = encoder_for(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                got = tok.encode_batch_fast(part.column("_text").to_pylist(), add_special_tokens=False)
-                yield results(tok, part.column("_id"), [x.ids for x in got])
+                got = [encoder.encode(t.encode()) for t in part.column("_text").to_pylist()]
+                yield results(encoder.tokenizer, part.column("_id"), [np.frombuffer(x, "<u4").tolist() for x in got])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +160,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
     def assemble(key, frame):
         import pandas as pd
 
-        tok = load_tokenizer_once(path)
+        tok = load_tokenizer(path)
         frame = frame.sort_values("begin")
         content = "".join(frame["leaf"])
         parts = []
@@ -183,13 +177,3 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
     dealt = stage(leaves.repartition("_row", "begin").mapInArrow(encode, f"_id {id_type}, _row long, begin long, leaf string, tokens binary"), "bpe-leaves")
     joined = dealt.groupBy("_row").applyInPandas(assemble, schema)
     return done.union(joined).withColumnRenamed("_id", id_column)
-
-
-_loaded: dict[str, object] = {}
-
-
-def load_tokenizer_once(path: str):
-    """For grouped calls: one tokenizer for each worker."""
-    if path not in _loaded:
-        _loaded[path] = load_tokenizer(path)
-    return _loaded[path]
