@@ -165,6 +165,8 @@ def test_scripts(db):
     """)
     assert [e is None for _, e in out] == [True, True, False, True, True, True]
     assert one(db, 'SELECT "item-name", "quantity" FROM "My Orders"') == [("a;b -- 'c'", 5)]
+    assert db.execute('UPDATE "My Orders" SET "quantity" = "quantity" * 2 WHERE "item-name" LIKE \'a%\'') == 1
+    assert one(db, 'SELECT "quantity" FROM "My Orders"') == [(10,)]
 
 
 def test_sales_goldens(db):

@@ -47,10 +47,13 @@ def touched(df: DataFrame, snapshots: tuple[str, ...], condition: str) -> tuple[
     place = F.regexp_replace(F.input_file_name(), r"/[^/]*$", "")
     found = df.select("*", place.alias("_place")).filter(condition).groupBy("_place").count().collect()  # a row for each snapshot
     ends = {r._place.rstrip("/").rsplit("/", 1)[-1] for r in found}
-    return [s for s in snapshots if s.rsplit("/", 1)[-1] in ends], sum(r["count"] for r in found)
+    old = [s for s in snapshots if s.rsplit("/", 1)[-1] in ends]
+    if len(old) < len(ends):
+        raise CatalogError("rows come from a snapshot that the table does not name")
+    return old, sum(r["count"] for r in found)
 
 
-def change(table: Table, before: DataFrame, assignments: dict[str, str], condition: str, path: str) -> DataFrame:
+def change(table: Table, before: DataFrame, assignments: dict[str, str], condition: str) -> DataFrame:
     """Rows after an UPDATE: expressions see the old row and are cast to their column's type."""
     hit = before.filter(condition)
     for name in assignments:
