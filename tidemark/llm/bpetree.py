@@ -44,6 +44,27 @@ def encode_part(tokenizer, text: str, begin: int, end: int) -> Part:
     return Part(begin, end, np.array(got.ids, "<u4"), places[:, 0], places[:, 1])
 
 
+def pack_part(part: Part) -> bytes:
+    """Ids and places in few bytes: two for the id, one each for a token's length and the gap before it."""
+    length = part.last - part.first
+    gap = part.first - np.concatenate([[part.begin], part.last[:-1]])
+    small = lambda x, low, high: not len(x) or (x.min() >= low and x.max() <= high)
+    if small(part.ids, 0, 65535) and small(length, 0, 255) and small(gap, -128, 127):
+        return b"\1" + part.ids.astype("<u2").tobytes() + length.astype("u1").tobytes() + gap.astype("i1").tobytes()
+    return b"\0" + np.stack([part.ids, part.first - part.begin, part.last - part.begin]).astype("<u4").tobytes()
+
+
+def unpack_part(packed: bytes, begin: int, end: int) -> Part:
+    if packed[0] == 0:
+        ids, first, last = np.frombuffer(packed, "<u4", offset=1).reshape(3, -1)
+        return Part(begin, end, ids, first.astype(np.int64) + begin, last.astype(np.int64) + begin)
+    n = (len(packed) - 1) // 4
+    length = np.frombuffer(packed, "u1", n, 1 + 2 * n).astype(np.int64)
+    gap = np.frombuffer(packed, "i1", n, 1 + 3 * n).astype(np.int64)
+    last = begin + np.cumsum(gap + length)
+    return Part(begin, end, np.frombuffer(packed, "<u2", n, 1).astype("<u4"), last - length, last)
+
+
 def _agreement(a: Part, b: Part, low: int, high: int, from_left: bool) -> tuple[int, int] | None:
     """Numbers of the first (or last) ``AGREE`` tokens in a row that a and b share within [low, high)."""
     where = {}
@@ -152,9 +173,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
         tok = load_tokenizer(path)
         for batch in batches:
             out = []
-            for begin, content in zip(batch.column("begin").to_pylist(), batch.column("leaf").to_pylist()):
-                part = encode_part(tok, content, 0, len(content))
-                out.append(np.stack([part.ids, part.first + begin, part.last + begin]).astype("<u4").tobytes())
+            for content in batch.column("leaf").to_pylist():
+                out.append(pack_part(encode_part(tok, content, 0, len(content))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "tokens"])
 
     def assemble(key, frame):
@@ -165,8 +185,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", te
         content = "".join(frame["leaf"])
         parts = []
         for begin, own, tokens in zip(frame["begin"], frame["leaf"], frame["tokens"]):
-            ids, first, last = np.frombuffer(tokens, "<u4").reshape(3, -1)
-            parts.append(Part(int(begin), int(begin) + len(own), ids, first.astype(np.int64), last.astype(np.int64)))
+            parts.append(unpack_part(tokens, int(begin), int(begin) + len(own)))
         whole = concatenate(tok, content, parts)
         batch = results(tok, pa.array([frame["_id"].iloc[0]]), [whole.ids.tolist()])
         return pd.DataFrame({n: batch.column(n).to_pylist() for n in names})
