@@ -57,6 +57,12 @@ def discard(*tables: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def without(columns: list[str], taken) -> list[str]:
+    """Columns but those that have one of the names taken (Spark ignores their case)."""
+    names = {n.lower() for n in taken}
+    return [c for c in columns if c.lower() not in names]
+
+
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import text_bytes, without
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -106,13 +106,13 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost: float = 0.5, min_
     name of a figure are replaced.  Nothing is shuffled: each row is judged alone.
     """
     names = [name for name, _ in FIELDS]
-    keep = [c for c in docs.columns if c not in {*names, "clean_text"}]
-    source = docs.select(*keep, text_bytes(text).alias("_bytes"))
+    keep = without(docs.columns, [*names, "clean_text"])
+    source = docs.select(*keep, text_bytes(text).alias("__bytes"))
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t in FIELDS), T.StructField("clean_text", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [measure(t, max_lost, min_words) for t in batch.column("_bytes").to_pylist()]
+            got = [measure(t, max_lost, min_words) for t in batch.column("__bytes").to_pylist()]
             figures = zip(*(g[0] for g in got)) if got else [[]] * len(names)
             columns = [pa.array(list(v), pa.bool_() if n in ("base_failed", "kept") else pa.int64()) for n, v in zip(names, figures)]
             yield pa.RecordBatch.from_arrays(

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stage, text_bytes
+from tidemark.llm.common import stage, text_bytes, without
 from tidemark.llm.tokens import encoder_for
 
 
@@ -179,7 +179,7 @@ def pack(
     """
     spark = docs.sparkSession
     added = [f.name for f in T._parse_datatype_string(PIECE_FIELDS).fields] + ["ids"]
-    docs = docs.select(*[c for c in docs.columns if c not in added])
+    docs = docs.select(*without(docs.columns, added))
     own = F.concat(F.lit("s"), F.col(source).cast("string")) if source in docs.columns else F.lit("s")
     tokens = stage(encode_queues(docs, tokenizer, F.coalesce(own, F.lit("-")), end_id, text), "packing-tokens")
     sums = stage(tokens.groupBy("_part", "_queue").agg(F.sum("_n").alias("n")), "packing-sums")

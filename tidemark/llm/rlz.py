@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WordHash, discard, stage, text_bytes
+from tidemark.llm.common import WordHash, discard, stage, text_bytes, without
 
 GRAM = 12
 BASE = 0x9E3779B97F4A7C15
@@ -88,7 +88,7 @@ NO_ID = -(1 << 63)
 
 def _named(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """Rows are known by their id and a hash of their text."""
-    return docs.withColumns({"_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), "_key": F.xxhash64(text), "_bytes": text_bytes(text)})
+    return docs.withColumns({"__doc": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), "__key": F.xxhash64(text), "__bytes": text_bytes(text)})
 
 
 def occurrences(docs: DataFrame, window: int) -> DataFrame:
@@ -107,14 +107,14 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
                 ints = [pa.array(x.astype(np.int32)) for x in columns[4:]]
                 yield pa.RecordBatch.from_arrays([*map(_longs, columns[:4]), *ints], names=names)
 
-    return docs.select("_doc", "_key", "_bytes").mapInArrow(run, OCCURRENCES)
+    return docs.select("__doc", "__key", "__bytes").mapInArrow(run, OCCURRENCES)
 
 
 def boundary_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """Window hashes of the phrases in ``wanted`` (doc, text_key, phrases), with their weight."""
-    rows = docs.select("_doc", "_key", "_bytes")
-    rows = rows.join(wanted, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("text_key")))
-    rows = rows.select("doc", "text_key", "_bytes", "phrases")
+    rows = docs.select("__doc", "__key", "__bytes")
+    rows = rows.join(wanted, (F.col("__doc") == F.col("doc")) & (F.col("__key") == F.col("text_key")))
+    rows = rows.select("doc", "text_key", "__bytes", "phrases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = RangeHash()
@@ -173,16 +173,16 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     other, with null ids as well.  Columns of ``docs`` with an added name are replaced.
     """
     added = T._parse_datatype_string(ADDED).fields[: 4 if with_text else 3]
-    keep = [c for c in docs.columns if c not in {"n_words", "n_removed", "kept_sha256", "kept_text"} and (with_text or c != text)]
-    spans = duplicate_spans(docs, id_column, text, window)
+    keep = [c for c in without(docs.columns, ["n_words", "n_removed", "kept_sha256", "kept_text"]) if with_text or c != text]
+    spans = duplicate_spans(docs, id_column, text, window).toDF("__span_doc", "__span_key", "__spans")
     rows = _named(docs, id_column, text)
-    rows = rows.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("text_key")), "left").select(*(rows[c] for c in keep), "_bytes", "spans")
+    rows = rows.join(spans, (F.col("__doc") == F.col("__span_doc")) & (F.col("__key") == F.col("__span_key")), "left").select(*keep, "__bytes", "__spans")
     schema = T.StructType([*(docs.schema[c] for c in keep), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words_of, removed_of, hashes, texts = [], [], [], []
-            for content, own in zip(batch.column("_bytes").to_pylist(), batch.column("spans").to_pylist()):
+            for content, own in zip(batch.column("__bytes").to_pylist(), batch.column("__spans").to_pylist()):
                 words = content.split()
                 n, gone = len(words), 0
                 if own:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import stage, without
 
 CELLS = 4096  # of the leading hash bits, to find a key's splitters without a scan of all
 
@@ -27,13 +27,13 @@ def splitters(records: DataFrame, ranges: int, per_range: int = 24) -> list[tupl
     The sample holds about ``ranges * per_range`` keys however many records there
     are; only that bounded sample reaches the driver.
     """
-    total = records.agg(F.sum("_size")).first()[0] or 0
+    total = records.agg(F.sum("__size")).first()[0] or 0
     if not total:
         return []
     step = total / (ranges * per_range)
-    chance = F.col("_size") / F.lit(float(step))
-    drawn = (F.xxhash64("_hash", "_tie", F.lit(17)).bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))) < chance
-    sample = records.filter(drawn).select("_hash", "_tie", F.greatest(F.col("_size").cast("double"), F.lit(float(step))).alias("w"))
+    chance = F.col("__size") / F.lit(float(step))
+    drawn = (F.xxhash64("__hash", "__tie", F.lit(17)).bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))) < chance
+    sample = records.filter(drawn).select("__hash", "__tie", F.greatest(F.col("__size").cast("double"), F.lit(float(step))).alias("w"))
     rows = sorted((r[0], r[1], r[2]) for r in sample.collect())
     whole = sum(r[2] for r in rows)
     out, reached, k = [], 0.0, 1
@@ -48,13 +48,13 @@ def splitters(records: DataFrame, ranges: int, per_range: int = 24) -> list[tupl
 
 
 def _range_of(splits: list[tuple[int, int]]) -> Column:
-    """The number of splitters below a key, from ``_cell`` (base, splitters of the cell)."""
+    """The number of splitters below a key, from ``__cell`` (base, splitters of the cell)."""
     inside = F.aggregate(
-        F.col("_cell.splits"),
+        F.col("__cell.splits"),
         F.lit(0),
-        lambda n, s: n + F.when((s["h"] < F.col("_hash")) | ((s["h"] == F.col("_hash")) & (s["t"] < F.col("_tie"))), 1).otherwise(0),
+        lambda n, s: n + F.when((s["h"] < F.col("__hash")) | ((s["h"] == F.col("__hash")) & (s["t"] < F.col("__tie"))), 1).otherwise(0),
     )
-    return F.col("_cell.base") + inside
+    return F.col("__cell.base") + inside
 
 
 def assign_shards(
@@ -62,19 +62,18 @@ def assign_shards(
 ) -> DataFrame:
     """``records`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in its shard).
 
-    Shards have nearly equal sums of ``size`` (law ``bytes``).  All columns stay;
-    ``shard`` and ``slot`` must not be among them (ValueError).  Null groups count
+    Shards have nearly equal sums of ``size`` (law ``bytes``).  All columns stay, but for
+    former ``shard`` and ``slot`` columns, which are replaced.  Null groups count
     as one group, null ids come first, null or negative sizes count as 0; rows that
     are equal in every column share the order between them arbitrarily but each
     gets a slot of its own.  An empty table gives an empty result.
     """
-    if taken := {"shard", "slot"} & set(records.columns):
-        raise ValueError(f"columns exist already: {sorted(taken)}")
+    records = records.select(*without(records.columns, ["shard", "slot"]))
     ranges, bits = shards * ranges_per_shard, CELLS.bit_length() - 1
     keyed = records.withColumns({
-        "_size": F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long"),
-        "_hash": F.xxhash64(group),
-        "_tie": F.xxhash64(F.col(id_column), F.monotonically_increasing_id()),
+        "__size": F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long"),
+        "__hash": F.xxhash64(group),
+        "__tie": F.xxhash64(F.col(id_column), F.monotonically_increasing_id()),
     })
     keyed = stage(keyed, "shard-keys")
     spark, splits = records.sparkSession, splitters(keyed, ranges)
@@ -87,22 +86,22 @@ def assign_shards(
     for c in order:
         rows.append((c, base, [{"h": h, "t": t} for h, t in cells[c]]))
         base += len(cells[c])
-    table = spark.createDataFrame(rows, "_c int, base int, splits array<struct<h: bigint, t: bigint>>")
-    table = table.select("_c", F.struct("base", "splits").alias("_cell"))
-    keyed = keyed.withColumn("_c", F.shiftrightunsigned(F.col("_hash"), 64 - bits).cast("int"))
-    placed = keyed.join(F.broadcast(table), "_c").withColumn("_range", _range_of(splits)).drop("_cell", "_c")
-    sums = placed.groupBy("_range").agg(F.sum("_size").alias("bytes"), F.count("*").alias("n")).collect()  # one row a range
+    table = spark.createDataFrame(rows, "__c int, base int, splits array<struct<h: bigint, t: bigint>>")
+    table = table.select("__c", F.struct("base", "splits").alias("__cell"))
+    keyed = keyed.withColumn("__c", F.shiftrightunsigned(F.col("__hash"), 64 - bits).cast("int"))
+    placed = keyed.join(F.broadcast(table), "__c").withColumn("__range", _range_of(splits)).drop("__cell", "__c")
+    sums = placed.groupBy("__range").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).collect()  # one row a range
     total, before, slots, places = sum(r.bytes for r in sums), 0, [0] * shards, []
-    for r in sorted(sums, key=lambda r: r._range):
+    for r in sorted(sums, key=lambda r: r["__range"]):
         middle = before + r.bytes / 2
-        k = min(shards - 1, int(middle * shards / total)) if total else r._range * shards // ranges
-        places.append((r._range, k, slots[k]))
+        k = min(shards - 1, int(middle * shards / total)) if total else r["__range"] * shards // ranges
+        places.append((r["__range"], k, slots[k]))
         slots[k] += r.n
         before += r.bytes
-    where = F.broadcast(spark.createDataFrame(places, "_range int, shard int, _first long"))
-    within = Window.partitionBy("_range").orderBy("_hash", "_tie", F.col(id_column))
-    out = placed.withColumn("_nth", F.row_number().over(within)).join(where, "_range")
-    return out.withColumn("slot", F.col("_first") + F.col("_nth") - 1).select(*records.columns, "shard", "slot")
+    where = F.broadcast(spark.createDataFrame(places, "__range int, shard int, __first long"))
+    within = Window.partitionBy("__range").orderBy("__hash", "__tie", F.col(id_column))
+    out = placed.withColumn("__nth", F.row_number().over(within)).join(where, "__range")
+    return out.withColumn("slot", F.col("__first") + F.col("__nth") - 1).select(*records.columns, "shard", "slot")
 
 
 def write_shards(records: DataFrame, path: str, **options) -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import discard, stage
+from tidemark.llm.common import discard, stage, without
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)  # characters of the beginnings that count beside the whole word
@@ -189,15 +189,15 @@ def score(docs: DataFrame, model: Severity, text: str = "text") -> DataFrame:
     The whole text counts.  A null or empty text has no words and so the chances of a text
     without known words; it is never rejected.  Columns with those names are replaced.
     """
-    keep = [c for c in docs.columns if c not in FIELDS]
+    keep = without(docs.columns, FIELDS)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand words at most
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string("expected_severity double, p_toxic double, grade int, rejected boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            above = np.array([own.above(t or "") for t in batch.column("_text").to_pylist()]).reshape(-1, len(own.thresholds))
-            full = np.array([bool(t and t.strip()) for t in batch.column("_text").to_pylist()], bool)
+            above = np.array([own.above(t or "") for t in batch.column("__text").to_pylist()]).reshape(-1, len(own.thresholds))
+            full = np.array([bool(t and t.strip()) for t in batch.column("__text").to_pylist()], bool)
             padded = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
             new = [
                 pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array((padded[:, :-1] - padded[:, 1:]).argmax(axis=1).astype(np.int32)),
@@ -205,4 +205,4 @@ def score(docs: DataFrame, model: Severity, text: str = "text") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
