@@ -139,6 +139,43 @@ def test_pack_with_a_mixture_and_shared_queue(docs, rows):
     check_pieces(pieces, rows, 64)
 
 
+def shares_by_window(pieces):
+    """Tokens of each source in the windows up to each but the last."""
+    out, reached, by_window = [], Counter(), {}
+    for p in pieces:
+        by_window.setdefault(p.sequence_id, []).append(p)
+    for k in sorted(by_window)[:-1]:
+        for p in by_window[k]:
+            reached[p.source] += p.length
+        out.append(reached.copy())
+    return out
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_pack_serves_sources_beyond_the_limit_by_what_they_hold(spark, monkeypatch, block):
+    monkeypatch.setattr(packing, "TREE_BLOCK", block)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 90))), f"host{min(rng.randint(0, 50), rng.randint(0, 50))}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    pieces = packing.pack(frame, BYTE, window=128, max_queues=3).collect()
+    check_pieces(pieces, rows, 128)
+    totals = Counter()
+    for p in pieces:
+        totals[p.source] += p.length
+    whole = sum(totals.values())
+    for k, reached in enumerate(shares_by_window(pieces), 1):
+        assert all(abs(reached[s] - 128 * k * n / whole) <= 12 for s, n in totals.items())  # a token a level
+
+
+def test_pack_heeds_the_weight_of_a_small_source(spark):
+    rows = [(i, "alpha beta " * 40, f"s{i % 4}") for i in range(80)] + [(100, "gamma " * 60, "tiny")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(frame, BYTE, mixture={"s0": 1, "s1": 1, "s2": 1, "s3": 1, "tiny": 4}, window=32, max_queues=2).collect()
+    check_pieces(pieces, rows, 32)
+    first = shares_by_window(pieces)[0]
+    assert abs(first["tiny"] - 16) <= 3 and all(abs(first[f"s{i}"] - 4) <= 3 for i in range(4))
+
+
 # Vectors
 
 

@@ -11,13 +11,18 @@ without those before it, and partitions need no order among them.
 
 When a queue runs dry the rest go on with their shares (a new phase).  Every token
 lies in exactly one piece, and only the last window can need padding.
+
+The sources without a queue of their own share one, in which a second tree of the same
+kind deals.  They weigh what they hold, so they all run dry at its last token and it
+needs no phases; each of them has its path in that tree as a column, so the driver holds
+nothing for them, however many they are.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -77,21 +82,13 @@ class Schedule:
             right = queue >= tree[3][1]
             path.append((right, tree[2][0], tree[0]))
             tree = tree[3] if right else tree[2]
-        n = tokens
-        for right, a, whole in reversed(path):
-            if right:  # least m with m - floor(m a / w) >= n
-                m = (n - 1) * whole // (whole - a) + 1
-                while m - 1 >= n and (m - 1) - (m - 1) * a // whole >= n:
-                    m -= 1
-                while m - m * a // whole < n:
-                    m += 1
-                n = m
-            else:  # least m with floor(m a / w) >= n
-                n = -(-n * whole // a)
-        return n
-
-    def before(self, queue: int, slot: int) -> tuple[int, int]:
-        """Tokens of the queue, and of the queues in front of it, in the slots below ``slot``."""
+        return _least(path, tokens)
+
+    def before(self, queue: int, slot: int, path: Sequence[int] = ()) -> tuple[int, int]:
+        """Tokens of the queue, and of the queues in front of it, in the slots below ``slot``.
+
+        With a ``path``: of the source that has this path in the queue, and of all in front of it.
+        """
         start, taken, tree, fronts = self.phases[min(bisect_right(self.starts, slot), len(self.phases)) - 1]
         own, front, n = taken[queue], fronts[queue], slot - start
         while tree is not None:
@@ -107,27 +104,96 @@ class Schedule:
                 tree, n = tree[3], n - left
             else:
                 tree, n = tree[2], left
+        whole = self.totals[queue]
+        for turn in path:
+            left = own * abs(turn) // whole
+            if turn < 0:
+                front, own, whole = front + left, own - left, whole + turn
+            else:
+                own, whole = left, turn
         return own, front
 
-    def slot_of(self, queue: int, token: int) -> int:
-        """The slot that holds the queue's token of this number."""
+    def slot_of(self, queue: int, token: int, path: Sequence[int] = ()) -> int:
+        """The slot that holds the token of this number of the queue, or of the source with this path in it."""
+        steps, whole = [], self.totals[queue]
+        for turn in path:
+            steps.append((turn < 0, abs(turn), whole))
+            whole = whole + turn if turn < 0 else turn
+        token = _least(steps, token + 1) - 1
         k = max(i for i, p in enumerate(self.phases) if p[1][queue] <= token)
         start, taken, tree, _ = self.phases[k]
         return start + self._slots_until(tree, queue, token - taken[queue] + 1) - 1
 
 
-def pieces_of(schedule: Schedule, queue: int, first: int, length: int, window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(start in the document, length, window, offset) for tokens [first, first + length) of a queue."""
+def _least(steps: list[tuple[bool, int, int]], tokens: int) -> int:
+    """The least number at the root that gives so many tokens to the node at the end of ``steps`` (right, left weight, weight)."""
+    n = tokens
+    for right, a, whole in reversed(steps):
+        if right:  # least m with m - floor(m a / w) >= n
+            m = (n - 1) * whole // (whole - a) + 1
+            while m - 1 >= n and (m - 1) - (m - 1) * a // whole >= n:
+                m -= 1
+            while m - m * a // whole < n:
+                m += 1
+            n = m
+        else:  # least m with floor(m a / w) >= n
+            n = -(-n * whole // a)
+    return n
+
+
+def pieces_of(
+    schedule: Schedule, queue: int, first: int, length: int, window: int, path: Sequence[int] = ()
+) -> Iterator[tuple[int, int, int, int]]:
+    """(start in the document, length, window, offset) for tokens [first, first + length) of a queue or of a source in it."""
     at, end = first, first + length
-    w = schedule.slot_of(queue, at) // window
-    own, front = schedule.before(queue, w * window)
+    w = schedule.slot_of(queue, at, path) // window
+    own, front = schedule.before(queue, w * window, path)
     while at < end:
-        own_next, front_next = schedule.before(queue, min((w + 1) * window, schedule.total))
+        own_next, front_next = schedule.before(queue, min((w + 1) * window, schedule.total), path)
         if own_next > at:
             n = min(end, own_next) - at
             yield at - first, n, w, (front_next - front) + (at - own)
             at += n
-        w, own, front = w + 1, own_next, front_next
+            w, own, front = w + 1, own_next, front_next
+        else:  # none in this window: on to the one that has the next token
+            w = schedule.slot_of(queue, at, path) // window
+            own, front = schedule.before(queue, w * window, path)
+
+
+TREE_BLOCK = 2048  # sources whose part of the tree one task draws
+
+
+def paths_of(sources: DataFrame, count: int) -> DataFrame:
+    """``(_queue, _path)`` for each of the ``count`` rows of ``sources`` (_queue, n): its turns from the root of a tree over all.
+
+    A turn is the weight on the left, negative where the path goes right; weights are sums of ``n``.
+    Blocks of sources have a tree each, and the blocks are the leaves of a tree of their own.
+    """
+    blocks = -(-count // TREE_BLOCK)
+
+    def draw(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["_queue"].to_pylist(), table["n"].to_pylist()))
+        sums, paths = [0, *accumulate(n for _, n in rows)], [[] for _ in rows]
+        open_nodes = [(0, len(rows))]
+        while open_nodes:
+            first, end = open_nodes.pop()
+            if end - first > 1:
+                half = (first + end) // 2
+                left = sums[half] - sums[first]
+                for i in range(first, end):
+                    paths[i].append(left if i < half else -left)
+                open_nodes += [(first, half), (half, end)]
+        columns = [table["_block"], pa.array([q for q, _ in rows], pa.string()), pa.array(paths, pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, names=["_block", "_queue", "_path"])
+
+    dealt = sources.select("_queue", "n", F.pmod(F.xxhash64("_queue"), F.lit(blocks)).cast("string").alias("_block"))
+    paths = dealt.groupBy("_block").applyInArrow(draw, "_block string, _queue string, _path array<long>")
+    if blocks == 1:
+        return paths.select("_queue", "_path")
+    # A hash may leave blocks without a source, so they are counted.
+    above = stage(dealt.groupBy(F.col("_block").alias("_queue")).agg(F.sum("n").alias("n")), "packing-blocks")
+    above = paths_of(above, above.count()).toDF("_block", "_above")
+    return paths.join(above, "_block").select("_queue", F.concat("_above", "_path").alias("_path"))
 
 
 TOKEN_FIELDS = "_part int, _queue string, _first long, _n long, _ids binary"
@@ -171,8 +237,10 @@ def pack(
 
     ``mixture``: integer weights by source; sources that it does not name, and all of
     them where it is None, weigh what they hold, so that a mixture of None keeps the
-    corpus's own proportions in every window.  The ``max_queues`` largest sources have
-    queues of their own, any others share one.  A null source is a source; a null text
+    corpus's own proportions in every window.  The ``max_queues`` largest sources and
+    all that ``mixture`` names have queues of their own; the others share one and are
+    served in it by what they hold.  A source whose share of a window is under a token
+    comes in pieces of single tokens.  A null source is a source; a null text
     is an empty one and holds only ``end_id``.  Repeated rows are packed as often as
     they come.  An empty table gives no pieces.  Columns of ``docs`` with the name of an
     added one are replaced.  ``with_ids`` adds the ids of each piece.
@@ -183,35 +251,39 @@ def pack(
     own = F.concat(F.lit("s"), F.col(source).cast("string")) if source in docs.columns else F.lit("s")
     tokens = stage(encode_queues(docs, tokenizer, F.coalesce(own, F.lit("-")), end_id, text), "packing-tokens")
     sums = stage(tokens.groupBy("_part", "_queue").agg(F.sum("_n").alias("n")), "packing-sums")
-    largest = sums.groupBy("_queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_queue").limit(max_queues).collect()
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    queues = {r._queue: (i, r.n) for i, r in enumerate(sorted(largest, key=lambda r: r._queue))}
-    totals = [n for _, n in queues.values()] + [total - sum(n for _, n in queues.values())]
+    sources = sums.groupBy("_queue").agg(F.sum("n").alias("n"))
     named = {f"s{k}": int(w) for k, w in (mixture or {}).items()}
-    weights = [named.get(q, n) if mixture else n for q, (_, n) in queues.items()] + [totals[-1]]
+    own_queues = sources.orderBy(F.desc("n"), "_queue").limit(max_queues).collect()
+    if named:
+        own_queues += sources.filter(F.col("_queue").isin(list(named))).collect()
+    total, count = sources.agg(F.sum("n"), F.count("*")).first()
+    queues = {q: (i, n) for i, (q, n) in enumerate(sorted({r._queue: r.n for r in own_queues}.items()))}
+    totals = [n for _, n in queues.values()] + [(total or 0) - sum(n for _, n in queues.values())]
+    weights = [named.get(q, n) for q, (_, n) in queues.items()] + [totals[-1]]
     schedule = Schedule(totals, [max(1, w) for w in weights])
-    numbers = F.broadcast(spark.createDataFrame([(q, i) for q, (i, _) in queues.items()], "_queue string, _q int"))  # max_queues rows at most
-    placed = sums.join(numbers, "_queue", "left").withColumn("_q", F.coalesce("_q", F.lit(len(queues))))
-    # Where each partition's part of a queue begins: sums before it, first by partition, then within one.
-    parts = placed.groupBy("_q", "_part").agg(F.sum("n").alias("of_part"))
-    to_here = Window.partitionBy("_q").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("of_part").over(to_here), F.lit(0)))
-    inside = Window.partitionBy("_q", "_part").orderBy("_queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, ["_q", "_part"])
-    bases = stage(bases.select("_part", "_queue", "_q", (F.col("_before") + F.col("_in")).alias("_base")), "packing-bases")
+    numbers = F.broadcast(spark.createDataFrame([(q, i) for q, (i, _) in queues.items()], "_queue string, _q int"))  # max_queues rows and those named at most
+    # Where each partition's part of a source begins: sums before it.
+    to_here = Window.partitionBy("_queue").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_part", "_queue", F.coalesce(F.sum("n").over(to_here), F.lit(0)).alias("_base"))
+    bases = bases.join(numbers, "_queue", "left").withColumn("_q", F.coalesce("_q", F.lit(len(queues))))
+    if count > len(queues):
+        bases = bases.join(paths_of(sources.join(numbers, "_queue", "left_anti"), count - len(queues)), "_queue", "left")
+    else:
+        bases = bases.withColumn("_path", F.lit(None).cast("array<long>"))
+    bases = stage(bases.select("_part", "_queue", "_q", "_path", "_base"), "packing-bases")
     rows = tokens.join(bases, ["_part", "_queue"])
     kept = [c for c in docs.columns if c != text]
-    rows = rows.select(*kept, "_q", (F.col("_base") + F.col("_first")).alias("_at"), "_n", "_ids")
+    rows = rows.select(*kept, "_q", "_path", (F.col("_base") + F.col("_first")).alias("_at"), "_n", "_ids")
     fields = T._parse_datatype_string(PIECE_FIELDS + (", ids array<long>" if with_ids else "")).fields
     schema = T.StructType([*(docs.schema[c] for c in kept), *fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, of, ids_out = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("_q", "_at", "_n", "_ids"))
-            for k, (q, at, n, packed) in enumerate(zip(*columns)):
+            columns = (batch.column(c).to_pylist() for c in ("_q", "_path", "_at", "_n", "_ids"))
+            for k, (q, path, at, n, packed) in enumerate(zip(*columns)):
                 ids = unpack(packed)
-                for start, length, sequence, offset in pieces_of(schedule, q, at, n, window):
+                for start, length, sequence, offset in pieces_of(schedule, q, at, n, window, path or ()):
                     piece = ids[start : start + length]
                     out.append((start, length, zlib.crc32(piece.tobytes()), n, sequence, offset))
                     of.append(k)
