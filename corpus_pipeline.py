@@ -36,10 +36,24 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs, words=5, share=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one_each = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.union(docs.filter("doc_id is null")).select(*docs.columns)
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    A document is an id with a text, so different texts under one id are judged each on its
+    own; of those in one group the text with the smallest hash stays.  Of rows with the same
+    id and text one stays, the smallest by the other columns in their order.
+    """
+    known = docs.filter("doc_id is not null").withColumn("__key", F.xxhash64("text"))
+    clashes = known.groupBy("doc_id").agg(F.min("__key").alias("low"), F.max("__key").alias("high")).filter("low < high")
+    if clashes.isEmpty():
+        kept = minhash.near_duplicates(docs, words=5, share=80).filter("kept and doc_id is not null").select("doc_id").distinct()
+    else:  # nodes numbered in the order of ids: the sort's partitions are in order, and so are the numbers
+        nodes = known.select("doc_id", "__key").distinct().orderBy("doc_id", "__key").withColumn("__node", F.monotonically_increasing_id())
+        nodes = stage(nodes, "pipeline-nodes")
+        numbered = known.join(nodes, ["doc_id", "__key"]).select(F.col("__node").alias("doc_id"), "text")
+        groups = minhash.near_duplicates(numbered, words=5, share=80).filter("kept").select(F.col("doc_id").alias("__node"))
+        kept = nodes.join(groups, "__node", "left_semi").select("doc_id", "__key")
+    one_each = known.join(kept, kept.columns, "left_semi").groupBy("doc_id", "__key").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return one_each.select("__row.*").union(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

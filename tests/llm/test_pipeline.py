@@ -32,3 +32,15 @@ def test_nulls_and_empty_tables(spark, sf_dir):
         for _, function in corpus_pipeline.STAGES:
             out = function(spark, docs, sf_dir)
             assert out.count() >= 0
+
+
+def test_texts_that_share_an_id_are_judged_each(spark, sf_dir):
+    prose = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    a, b, c = prose("a"), prose("b"), prose("c")
+    rows = [(3, a, "x"), (3, b, "x"), (3, b, "w"), (1, a + " end", "x"), (7, c, "x"), (7, c + " end", "x"), (9, b, "x"), (9, None, "x"), (9, "", "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()]
+    seven = [g for g in got if g[0] == 7]
+    assert len(seven) == 1 and seven[0][1] in (c, c + " end")
+    rest = [(1, a + " end", "x"), (3, b, "w"), (9, None, "x"), (9, "", "x"), (None, a, "x"), (None, a, "x")]
+    assert sorted(map(str, [g for g in got if g[0] != 7])) == sorted(map(str, rest))
