@@ -1,15 +1,17 @@
-"""Repeated passages by relative Lempel-Ziv parsing against all documents.
-
-Every document is a reference block, and every block is indexed.  A document is parsed
-into phrases: a phrase is a run of windows (``WINDOW`` words each) that have the same
-anchor, the anchor being the window's least hash of ``GRAM`` words.  Where two texts
-agree they have the same phrases, so a factor is found greedily, phrase by phrase: a
-phrase that the index holds elsewhere continues the factor at once, whatever its length.
-
-Only where a factor begins or ends do phrases differ though their anchor is found
-elsewhere.  There, at the factor boundaries, the windows of the phrase are looked up one
-by one.  A window whose words also start anywhere else lies in a factor of at least
-``WINDOW`` words; its words are a duplicate span.
+"""Repeated passages by counted phrases of all documents.
+
+This takes the place of relative Lempel-Ziv parsing: nothing is parsed greedily, and
+there are no factors with a reference position and a length.  The result needs only
+which windows start more than once, and that can be counted.
+
+A document is cut into phrases: a phrase is a run of windows (``window`` words each)
+that have the same anchor, the anchor being the window's least hash of ``GRAM`` words.
+Where two texts agree they have the same phrases, so a phrase that occurs elsewhere is
+repeated as a whole, whatever its length.
+
+Only where a repeated passage begins or ends do phrases differ though their anchor is
+found elsewhere.  There the windows of the phrase are counted one by one.  The words of
+a window whose words also start anywhere else are a duplicate span.
 
 The index is a shuffle on the anchor and nothing is compared pair by pair, so a passage
 that a third of all documents share costs a row for each of its phrases, not for each
