@@ -393,6 +393,20 @@ def test_a_hot_group_is_subdivided(spark):
     assert len(sizes) == 8 and max(sizes) < 1.1 * 7500 and min(sizes) > 0.9 * 7500
 
 
+def test_a_range_that_the_sample_leaves_overfull_is_split(spark, monkeypatch):
+    first = sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda records, ranges: first(records, ranges)[:3])
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 4000).alias("text"), (F.col("id") % 7 + 5).alias("size"))
+    got = sharding.assign_shards(rows, shards=5).collect()
+    sizes, slots = Counter(), {}
+    for r in got:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    mean = sum(sizes.values()) / 5
+    assert len(got) == 6000 and len(sizes) == 5 and all(abs(b - mean) < 0.1 * mean for b in sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # Toxicity
 
 

@@ -4,19 +4,24 @@ Records are ordered by a composite key: a 64-bit hash of their group (equal text
 have equal hashes), then their id.  A size-weighted sample of these keys gives the
 splitters of many small ranges; the exact bytes of each range are then summed, and
 consecutive ranges are joined into shards of nearly equal bytes.  As the id is part
-of the key, a group larger than a range is subdivided by the sample itself, so an
-overfull range (a text with a third of all rows) is spread over as many ranges as
-its size asks for, and a smaller group stays in one shard unless a quantile cuts it.
+of the key, a group larger than a range is subdivided by the sample itself (a text with
+a third of all rows is spread over as many ranges as its size asks for), and a smaller
+group stays in one shard unless a quantile cuts it.  A range whose exact bytes are above
+``OVERFULL`` times the mean is split by a second sample drawn inside it, and its parts
+are summed again; only a single record is never split.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage, without
 
 CELLS = 4096  # of the leading hash bits, to find a key's splitters without a scan of all
+OVERFULL = 2  # times the mean bytes of a range, above which it is split
 
 
 def splitters(records: DataFrame, ranges: int, per_range: int = 24) -> list[tuple[int, int]]:
@@ -34,7 +39,26 @@ def splitters(records: DataFrame, ranges: int, per_range: int = 24) -> list[tupl
     chance = F.col("__size") / F.lit(float(step))
     drawn = (F.xxhash64("__hash", "__tie", F.lit(17)).bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))) < chance
     sample = records.filter(drawn).select("__hash", "__tie", F.greatest(F.col("__size").cast("double"), F.lit(float(step))).alias("w"))
-    rows = sorted((r[0], r[1], r[2]) for r in sample.collect())
+    return _quantiles(sorted((r[0], r[1], r[2]) for r in sample.collect()), ranges)
+
+
+def splitters_inside(placed: DataFrame, overfull: dict[int, int], mean: float, per_range: int = 24) -> list[tuple[int, int]]:
+    """More splitters, for parts of ``mean`` bytes, from a sample of the ranges in ``overfull`` (bytes by range).
+
+    The sample is drawn as in ``splitters``, by another hash, and is no larger.
+    """
+    step = mean / per_range
+    drawn = (F.xxhash64("__hash", "__tie", F.lit(18)).bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))) < F.col("__size") / F.lit(float(step))
+    inside = F.broadcast(placed.sparkSession.createDataFrame([(r,) for r in overfull], "__range int"))
+    sample = placed.join(inside, "__range").filter(drawn)
+    by_range: dict[int, list] = {}
+    for r in sample.select("__range", "__hash", "__tie", F.greatest(F.col("__size").cast("double"), F.lit(float(step)))).collect():
+        by_range.setdefault(r[0], []).append((r[1], r[2], r[3]))
+    return [s for k, rows in by_range.items() for s in _quantiles(sorted(rows), math.ceil(overfull[k] / mean))]
+
+
+def _quantiles(rows: list[tuple[int, int, float]], ranges: int) -> list[tuple[int, int]]:
+    """The keys at which the running weight of sorted (hash, tie, weight) passes each of ``ranges`` equal parts."""
     whole = sum(r[2] for r in rows)
     out, reached, k = [], 0.0, 1
     for h, tie, w in rows:
@@ -57,6 +81,24 @@ def _range_of(splits: list[tuple[int, int]]) -> Column:
     return F.col("__cell.base") + inside
 
 
+def _placed(keyed: DataFrame, splits: list[tuple[int, int]]) -> DataFrame:
+    """``keyed`` with the ``__range`` of each record."""
+    spark, bits = keyed.sparkSession, CELLS.bit_length() - 1
+    # Splitters by the leading bits of the hash: CELLS rows, whatever the input.
+    cells: list[list[tuple[int, int]]] = [[] for _ in range(CELLS)]
+    for h, t in splits:
+        cells[(h >> (64 - bits)) % CELLS].append((h, t))
+    order = [*range(CELLS // 2, CELLS), *range(CELLS // 2)]  # negative hashes first
+    rows, base = [], 0
+    for c in order:
+        rows.append((c, base, [{"h": h, "t": t} for h, t in cells[c]]))
+        base += len(cells[c])
+    table = spark.createDataFrame(rows, "__c int, base int, splits array<struct<h: bigint, t: bigint>>")
+    table = table.select("__c", F.struct("base", "splits").alias("__cell"))
+    keyed = keyed.withColumn("__c", F.shiftrightunsigned(F.col("__hash"), 64 - bits).cast("int"))
+    return keyed.join(F.broadcast(table), "__c").withColumn("__range", _range_of(splits)).drop("__cell", "__c")
+
+
 def assign_shards(
     records: DataFrame, id_column: str = "doc_id", group: str = "text", size: str = "size", shards: int = 16, ranges_per_shard: int = 64
 ) -> DataFrame:
@@ -69,28 +111,22 @@ def assign_shards(
     gets a slot of its own.  An empty table gives an empty result.
     """
     records = records.select(*without(records.columns, ["shard", "slot"]))
-    ranges, bits = shards * ranges_per_shard, CELLS.bit_length() - 1
+    spark, ranges = records.sparkSession, shards * ranges_per_shard
     keyed = records.withColumns({
         "__size": F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long"),
         "__hash": F.xxhash64(group),
         "__tie": F.xxhash64(F.col(id_column), F.monotonically_increasing_id()),
     })
     keyed = stage(keyed, "shard-keys")
-    spark, splits = records.sparkSession, splitters(keyed, ranges)
-    # Splitters by the leading bits of the hash: CELLS rows, whatever the input.
-    cells: list[list[tuple[int, int]]] = [[] for _ in range(CELLS)]
-    for h, t in splits:
-        cells[(h >> (64 - bits)) % CELLS].append((h, t))
-    order = [*range(CELLS // 2, CELLS), *range(CELLS // 2)]  # negative hashes first
-    rows, base = [], 0
-    for c in order:
-        rows.append((c, base, [{"h": h, "t": t} for h, t in cells[c]]))
-        base += len(cells[c])
-    table = spark.createDataFrame(rows, "__c int, base int, splits array<struct<h: bigint, t: bigint>>")
-    table = table.select("__c", F.struct("base", "splits").alias("__cell"))
-    keyed = keyed.withColumn("__c", F.shiftrightunsigned(F.col("__hash"), 64 - bits).cast("int"))
-    placed = keyed.join(F.broadcast(table), "__c").withColumn("__range", _range_of(splits)).drop("__cell", "__c")
-    sums = placed.groupBy("__range").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).collect()  # one row a range
+    splits = splitters(keyed, ranges)
+    placed = _placed(keyed, splits)
+    by_range = lambda: placed.groupBy("__range").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).collect()  # noqa: E731  # one row a range
+    sums = by_range()
+    mean = sum(r.bytes for r in sums) / ranges
+    overfull = {r["__range"]: r.bytes for r in sums if r.bytes > OVERFULL * mean and r.n > 1}
+    if overfull:
+        placed = _placed(keyed, sorted({*splits, *splitters_inside(placed, overfull, mean)}))
+        sums = by_range()
     total, before, slots, places = sum(r.bytes for r in sums), 0, [0] * shards, []
     for r in sorted(sums, key=lambda r: r["__range"]):
         middle = before + r.bytes / 2
