@@ -45,3 +45,19 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 
 def test_topk_does_not_sort_everything(spark, sf_dir):
     assert "TakeOrderedAndProject" in QUERIES["topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["sort_multi_whole", "sort_nulls_whole", "sort_by_agg_whole"])
+def test_whole_tables_come_in_order(spark, duck, name):
+    sf_dir = "/root/testdata/sf0.01"
+    df = QUERIES[name](spark, sf_dir)
+    assert "TakeOrderedAndProject" not in df._jdf.queryExecution().executedPlan().toString()
+    tables = {t: f"(SELECT * FROM '{sf_dir}/{t}.parquet')" for t in TABLES}
+    want = duck.execute(workload.SHARED[name].format(**tables)).fetchall()
+    assert [tuple(r) for r in df.collect()] == want and len(want) > 40
+
+
+def test_full_join_keeps_what_has_no_match(spark, sf_dir):
+    rows = QUERIES["join_full_whole"](spark, sf_dir).collect()
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert sum(r.l_orderkey is not None for r in rows) == lines and sum(r.l_orderkey is None for r in rows) > 0

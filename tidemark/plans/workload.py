@@ -57,6 +57,7 @@ SHARED = {
     "join_left": "SELECT o.o_orderkey, count(l.l_orderkey) AS items FROM {orders} o LEFT JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey",
     "join_right": "SELECT o.o_orderkey, l.l_partkey FROM {lineitem} l RIGHT OUTER JOIN {orders} o ON o.o_orderkey = l.l_orderkey AND l.l_quantity > 45",
     "join_full": "SELECT s.s_suppkey, c.c_custkey FROM (SELECT * FROM {supplier} WHERE s_suppkey % 2 = 0) s FULL OUTER JOIN (SELECT * FROM {customer} WHERE c_custkey % 3 = 0) c ON s.s_suppkey = c.c_custkey",
+    "join_full_whole": "SELECT o.o_orderkey, l.l_orderkey, l.l_linenumber, l.l_partkey FROM {orders} o FULL OUTER JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey",
     "join_cross": "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n",
     "join_comma": "SELECT n.n_name, r.r_name FROM {nation} n, {region} r WHERE n.n_regionkey = r.r_regionkey",
     "join_natural": "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM {nation}) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM {region}) b",
@@ -113,6 +114,10 @@ SHARED = {
     "sort_nulls": "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM {orders} ORDER BY status ASC NULLS FIRST, o_orderkey LIMIT 25",
     "sort_by_agg": "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 10",
     "topk": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
+    # The whole tables in order, without a limit
+    "sort_multi_whole": "SELECT c_mktsegment, c_acctbal, c_custkey FROM {customer} ORDER BY c_mktsegment, c_acctbal DESC, c_custkey",
+    "sort_nulls_whole": "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM {orders} ORDER BY status ASC NULLS FIRST, o_orderkey",
+    "sort_by_agg_whole": "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey",
     "limit_offset": "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 10 OFFSET 20",
     "offset_only": "SELECT n_nationkey, n_name FROM {nation} ORDER BY n_nationkey OFFSET 20",
     # The dialect's quirks, as named variants
