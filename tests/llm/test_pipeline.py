@@ -1,4 +1,7 @@
+import hashlib
+
 import corpus_pipeline
+from test_operators import brute_components, brute_repeats, check_pieces
 from tidemark.llm import minhash, rlz, toxicity
 
 
@@ -44,3 +47,54 @@ def test_texts_that_share_an_id_are_judged_each(spark, sf_dir):
     assert len(seven) == 1 and seven[0][1] in (c, c + " end")
     rest = [(1, a + " end", "x"), (3, b, "w"), (9, None, "x"), (9, "", "x"), (None, a, "x"), (None, a, "x")]
     assert sorted(map(str, [g for g in got if g[0] != 7])) == sorted(map(str, rest))
+
+
+def plain_lines(text):
+    """The lines that stay, by the two rules that the documents below meet; None where too little does."""
+    lines = text.split("\n")
+    good = [x for x in lines if "|" not in x and (len(x.split()) >= 8 or x.endswith("."))]
+    lost = sum(len(x.split()) for x in lines if x not in good)
+    return "\n".join(good) if len(text.split()) >= 50 and 2 * lost <= len(text.split()) else None
+
+
+def test_each_stage_against_plain_python(spark, tmp_path):
+    prose = lambda p, n=72: "\n".join(" ".join(f"{p}q{k}" for k in range(i, min(i + 12, n))) + "." for i in range(0, n, 12))
+    words = [chr(97 + i // 26) + chr(97 + i % 26) + "x" for i in range(60)]
+    texts = {i: prose(words[i]) for i in range(30)}
+    toxic = set(range(30, 42))
+    texts |= {i: prose(words[i]) + "\n" + " ".join(f"vile{c}" for c in "abcdefgh") + "." for i in toxic}
+    texts |= {42: "Home | Login | About\n" + prose("m") + "\nshort stub", 43: prose("n", 20), 44: "a | b | c d e\n" * 30 + prose("o")}
+    texts |= {45: texts[3].replace("q30 ", "changed "), 46: texts[3] + "\n" + texts[7], 47: None, 48: texts[5]}
+    first, second = prose("r", 48), prose("s", 48)
+    texts |= {49: prose("t") + "\n" + first, 50: second + "\n" + prose("u"), 51: first + "\n" + second}
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = [(i, 1, int(i in toxic)) for i in [*range(25), *sorted(toxic)[:8]]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def held(frame, want):
+        got = {r.doc_id: tuple(r) for r in frame.collect()}
+        assert got == {i: (i, t, "en", f"s{i % 3}", len(t or "")) for i, t in want.items()}
+
+    stages = [function for _, function in corpus_pipeline.STAGES]
+    docs = stages[0](spark, docs, tmp_path).cache()
+    texts = {i: t for i, t in texts.items() if i not in toxic}
+    held(docs, texts)
+    docs = stages[1](spark, docs, tmp_path).cache()
+    texts = {i: plain_lines(t or "") for i, t in texts.items()}
+    texts = {i: t for i, t in texts.items() if t is not None}
+    assert not {43, 44, 47} & set(texts) and "stub" not in texts[42]
+    held(docs, texts)
+    docs = stages[2](spark, docs, tmp_path).cache()
+    components = brute_components(list(texts.items()), 5)
+    texts = {i: t for i, t in texts.items() if components[i][1] == i}
+    assert not {45, 48} & set(texts)
+    held(docs, texts)
+    docs = stages[3](spark, docs, tmp_path).cache()
+    repeats = {i: r for i, r in brute_repeats(list(texts.items()), 35).items() if r[1] == 0 or r[1] < r[0]}
+    got = {r.doc_id: r for r in docs.collect()}
+    assert 51 not in repeats and any(r[1] for r in repeats.values()) and got.keys() == repeats.keys()
+    for i, r in got.items():
+        assert hashlib.sha256(" ".join(r.text.split()).encode()).hexdigest() == repeats[i][2]
+        assert (r.lang, r.source, r.n_chars) == ("en", f"s{i % 3}", len(r.text))
+    check_pieces(stages[4](spark, docs, tmp_path).collect(), [(i, r.text) for i, r in got.items()], 2048)
