@@ -203,6 +203,37 @@ def test_top_k(spark, monkeypatch, blocks):
     assert vafile.top_k(frame.filter("false"), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("dims", [64, 768])
+def test_exact_vectors_are_read_by_bound(spark, monkeypatch, dims):
+    rng, read = np.random.default_rng(dims), []
+    x = rng.normal(0, 0.3, (600, dims)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(3)
+    exact = vafile.exact_scores
+
+    def counted(wanted, rows, asked):
+        read.append(wanted.count())
+        return exact(wanted, rows, asked)
+
+    monkeypatch.setattr(vafile, "exact_scores", counted)
+    monkeypatch.setattr(vafile, "VECTOR_BLOCK", 100)
+    got = vafile.top_k(frame, lambda i: i % 20 == 0, k=5).collect()
+    whole = np.floor(64 * x.astype(float)).astype(int)
+    for q in range(0, 600, 20):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(600) if i != q)[:5]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert read[0] <= 30 * 10 and sum(read) < 0.1 * 30 * 599  # the first 2 k of each query, then those still open
+
+
+def test_top_k_of_large_numbers_repeated_ids_and_clashing_names(spark):
+    rows = [(20, [3e7, -1.0]), (20, [1.0, 2.0]), (1, [2.0, 5.0]), (1, [2.0, 5.0]), (2, [-4e7, 7.0])]
+    frame = spark.createDataFrame([(i, v, "x", "y", "z") for i, v in rows], "vec_id long, embedding array<double>, number string, block string, codes string")
+    whole = [(i, [int(np.floor(64 * c)) for c in v]) for i, v in rows]
+    asked = min(v for i, v in whole if i == 20)
+    want = sorted((-sum(a * b for a, b in zip(asked, v)), i) for i, v in whole if i != 20)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in vafile.top_k(frame, lambda i: i % 20 == 0).collect())
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 # Near duplicates
 
 

@@ -63,9 +63,23 @@ def without(columns: list[str], taken) -> list[str]:
     return [c for c in columns if c.lower() not in names]
 
 
+def nested(columns: list[str]):
+    """The user's columns in one struct, so that names of an operator's own cannot clash with them."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in columns), *([] if columns else [F.lit(None).cast("int").alias("none")])).alias("row")
+
+
+def unnested(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    """The columns of the struct that ``nested`` made, then those in ``added``."""
+    return df.select(*(F.col("row")[c].alias(c) for c in columns), *added)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a text column, null as empty."""
-    return F.coalesce(F.col(column), F.lit("")).cast("binary")
+    return F.coalesce(F.col(quoted(column)), F.lit("")).cast("binary")
 
 
 class WordHash(dict):
@@ -93,7 +107,9 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     from there once more; the edges are then drawn between what their ends point at, and
     those within one node go.  At least half of the nodes that still have edges go in each
     round, so the rounds are few and their rows, summed, a small multiple of the edges.  All
-    of it stays distributed; a round is written before the next one begins.
+    of it stays distributed; a round is written before the next one begins, and deleted when
+    nothing reads it any more.  Joins are told to sort and merge, so nothing that grows with
+    the graph is broadcast.
     """
 
     def drawn(a: str, b: str, rows: DataFrame) -> DataFrame:
@@ -105,16 +121,18 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         hook = both.groupBy("node").agg(F.min("other").alias("other"))
         hook = stage(hook.select("node", F.least("node", "other").alias("component")), label)
-        up = hook.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+        up = hook.select(F.col("node").alias("component"), F.col("component").alias("higher")).hint("merge")
         point = stage(hook.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), label)
         if named is None:
             named = point
         else:
-            higher = point.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+            higher = point.select(F.col("node").alias("component"), F.col("component").alias("higher")).hint("merge")
             before, named = named, stage(named.join(higher, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), label)
             discard(before)
-        ends = left.join(point.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
-        ends = ends.join(point.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
-        left = drawn("x", "y", ends)
+        ends = left.join(point.select(F.col("node").alias("a"), F.col("component").alias("x")).hint("merge"), "a")
+        ends = ends.join(point.select(F.col("node").alias("b"), F.col("component").alias("y")).hint("merge"), "b")
+        before, left = left, drawn("x", "y", ends)
+        discard(before, hook, *([] if point is named else [point]))
         if left.isEmpty():
+            discard(left)
             return named

@@ -1,18 +1,22 @@
 """Exact top-k search with vector-approximation files.
 
-Vectors are written in blocks.  A block has, for each vector, the number of its cell in
-every dimension (``bits`` each, cell borders from the least and greatest component of all
-vectors), and the exact vectors beside.  A query scans the cells first: a component in cell
-[lo, hi] adds at most max(q * lo, q * hi) to the inner product, which gives an upper bound
-for each vector.  Exact vectors are then read in the order of their bounds until the k-th
-score found is above every bound left, so the result is that of a full scan, ties included.
-
-Queries are a block table too.  Each pair of a query block and a vector block is one row of
-work; what comes back is k rows for each query and vector block, ranked per query.
+The file holds, for each vector, the number of its cell in every dimension (``bits`` each,
+cells of equal width between the least and greatest component of that dimension).  A query
+scans the cells alone: a component in the cell [lo, hi] adds between min(q * lo, q * hi) and
+max(q * lo, q * hi) to the inner product.  As the cells of a dimension are equally wide, both
+bounds of a query lie at a fixed distance from ``sum(q * lo)``, so one product of small
+numbers gives them for a block of vectors.
+
+The k-th greatest lower bound found so far goes along from block to block in a task, and only
+vectors whose upper bound reaches it become candidates; the k-th over all tasks drops more.
+Exact vectors are then read in the order of their bounds: the best ``2 * k`` first, whose
+k-th score tells which others could still be among the best; only those are read as well.
+The result is that of a full scan, ties included.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,86 +24,189 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import discard, quoted, stage
 
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
+BLOCK_CELLS = 1 << 19  # cells of a vector block at most, whatever the number of dimensions
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+REMEMBERED = 64  # query blocks whose bounds a task carries along; forgetting one costs candidates, not results
+SALTS = 64
 
 
 def integer_vectors(vectors: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
     """(id, x array<long>): floor(scale * component); vectors that hold no finite number somewhere go."""
-    x = F.transform(F.col(vector), lambda c: c.cast("double"))
+    given, own_id = F.col(quoted(vector)), F.col(quoted(id_column))
+    x = F.transform(given, lambda c: c.cast("double"))
     sound = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
-    rows = vectors.filter(F.col(id_column).isNotNull() & F.col(vector).isNotNull() & sound & (F.size(vector) > 0))
-    return rows.select(F.col(id_column).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("x"))
-
+    rows = vectors.filter(own_id.isNotNull() & given.isNotNull() & sound & (F.size(given) > 0))
+    return rows.select(own_id.cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("x"))
+
+
+def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the lists in column ``x``, for each length that occurs."""
+    lists = batch.column("x")
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    lengths = np.diff(offsets)
+    for dims in np.unique(lengths):
+        own = np.flatnonzero(lengths == dims)
+        yield own, flat[offsets[own][:, None] + np.arange(dims)]
+
+
+class Cells:
+    """Borders of the cells of vectors of one length: the least component and the cells' width by dimension."""
+
+    def __init__(self, low: list[int], high: list[int], bits: int):
+        self.low = np.array(low, np.int64)
+        self.width = np.array([-(-(b - a + 1) // (1 << bits)) for a, b in zip(low, high)], np.uint64)
+
+    def codes(self, exact: np.ndarray) -> np.ndarray:
+        above = exact.astype(np.uint64) - self.low.astype(np.uint64)  # modulo 2^64, so right for any 64-bit range
+        return (above // self.width).astype(np.uint8)
+
+    def scores(self, codes: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``s``, ``down``, ``up``: the inner product of query i and vector j is in [s[i, j] + down[i], s[i, j] + up[i]]."""
+        q, width, low = queries.astype(np.float64), self.width.astype(np.float64), self.low.astype(np.float64)
+        steps = q * width
+        largest = np.abs(steps).max(initial=0) * 255.0 * codes.shape[1]
+        kind = np.float32 if largest < 1 << 24 else np.float64  # sums below 2^24 and 2^53 are exact
+        s = steps.astype(kind) @ codes.T.astype(kind)
+        down, up = np.minimum(q, 0) @ (width - 1), np.maximum(q, 0) @ (width - 1)
+        base = q @ low
+        size = np.abs(q) @ (np.abs(low) + width * 256)
+        slack = np.where(size < 2**52, 0.0, size * 1e-12 * codes.shape[1])
+        return s, down + base - slack, up + base + slack
+
+
+def ranges(rows: DataFrame, bits: int) -> dict[int, Cells]:
+    """Cells by vector length, from the least and greatest component of each dimension over all rows.
+
+    A task yields one row for each length that it meets; the driver gets a row for each
+    dimension of each length that occurs.
+    """
 
-def blocks_of(rows: DataFrame, size: int, low: int, width: float, cells: int) -> DataFrame:
-    """One row for each block: (n, dims, ids, codes, exact); made where the rows are, nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for _, x in matrices(batch):
+                low, high = seen.get(x.shape[1], (x[0], x[0]))
+                seen[x.shape[1]] = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+        for dims, (low, high) in seen.items():
+            columns = [pa.array(np.full(dims, dims)), pa.array(np.arange(dims)), pa.array(low), pa.array(high)]
+            yield pa.RecordBatch.from_arrays(columns, names=["dims", "at", "low", "high"])
+
+    found = rows.select("x").mapInArrow(run, "dims long, at long, low long, high long")
+    found = found.groupBy("dims", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("dims", "at").collect()
+    by_length: dict[int, tuple[list[int], list[int]]] = {}
+    for r in found:
+        low, high = by_length.setdefault(r.dims, ([], []))
+        low.append(r.low)
+        high.append(r.high)
+    return {dims: Cells(low, high, bits) for dims, (low, high) in by_length.items()}
+
+
+def cell_file(rows: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """One row for each block: (dims, n, ids, numbers, codes); made where the rows are, nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column("id").to_numpy(), batch.column("x")
-            lengths = np.diff(lists.offsets.to_numpy())
-            flat = lists.values.to_numpy()
-            begin = lists.offsets.to_numpy()[:-1]
-            for dims in np.unique(lengths):  # vectors of different length do not meet
-                own = np.flatnonzero(lengths == dims)
+            ids, numbers = batch.column("id").to_numpy(), batch.column("number").to_numpy()
+            for own, exact in matrices(batch):
+                dims, size = exact.shape[1], min(VECTOR_BLOCK, max(1, BLOCK_CELLS // exact.shape[1]))
+                codes = cells[dims].codes(exact)
                 for lo in range(0, len(own), size):
                     some = own[lo : lo + size]
-                    exact = flat[begin[some][:, None] + np.arange(dims)]
-                    codes = np.clip(((exact - low) / width).astype(np.int64), 0, cells - 1).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([len(some)], pa.int64()), pa.array([int(dims)], pa.int64()), pa.array([ids[some].astype("<i8").tobytes()]),
-                            pa.array([codes.tobytes()]), pa.array([exact.astype("<i8").tobytes()]),
-                        ],
-                        names=["n", "dims", "ids", "codes", "exact"],
-                    )
-
-    return rows.mapInArrow(run, "n long, dims long, ids binary, codes binary, exact binary")
-
-
-def search_block(ids: np.ndarray, codes: np.ndarray, exact: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, low: int, width: float):
-    """(query row, vector row, score) of each query's k best vectors, ties to the smaller id."""
-    # In float64 sums of products below 2^53 are exact, and so are the cell borders' bounds but for rounding.
-    small = float(np.abs(exact).max(initial=0)) * float(np.abs(queries).max(initial=0)) * exact.shape[1] < 2**52
-    cell_low = np.floor(low + codes * width)
-    cell_high = np.minimum(np.ceil(low + (codes + 1.0) * width), 2.0**62)
-    q = queries.astype(np.float64)
-    bound = np.maximum(q, 0) @ cell_high.T + np.minimum(q, 0) @ cell_low.T
-    bound += np.abs(bound) * 1e-9 + 1
-    bound[query_ids[:, None] == ids[None, :]] = -np.inf
-    n, want = len(ids), min(k, len(ids))
-    vectors = exact.astype(np.float64) if small else exact
-    found = []
-    open_rows, take = np.arange(len(queries)), min(n, 4 * want)
-    while len(open_rows):
-        own = bound[open_rows]
-        if take * len(open_rows) * exact.shape[1] > 1 << 24:  # so many that the whole block is less work
-            take = n
-        if take < n:
-            near = np.argpartition(-own, take - 1, axis=1)[:, :take]
-            rest = np.take_along_axis(own, np.argpartition(-own, take, axis=1)[:, take : take + 1], 1)[:, 0]
-            scores = np.einsum("qtd,qd->qt", vectors[near], (q if small else queries)[open_rows])
-        else:
-            near, rest = np.broadcast_to(np.arange(n), (len(open_rows), n)), np.full(len(open_rows), -np.inf)
-            scores = (q if small else queries)[open_rows] @ vectors.T
-        scores = np.where(np.isneginf(np.take_along_axis(own, near, 1)), -np.inf if small else np.iinfo(np.int64).min, scores)
-        kth = np.partition(scores, scores.shape[1] - want, axis=1)[:, scores.shape[1] - want]
-        sure = rest < kth  # an equal score with a smaller id may be left where they are equal
-        for r in np.flatnonzero(sure if take < n else np.ones(len(open_rows), bool)):
-            row = open_rows[r]
-            at, own_scores = near[r], scores[r]
-            keep = own_scores >= kth[r]
-            at, own_scores = at[keep], own_scores[keep]
-            valid = ids[at] != query_ids[row]
-            at, own_scores = at[valid], own_scores[valid]
-            best = np.lexsort((ids[at], -own_scores))[:k]
-            found.append((np.full(len(best), row), at[best], own_scores[best].astype(np.int64)))
-        if take >= n:
-            break
-        open_rows, take = open_rows[~sure], min(n, 4 * take)
-    return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+                    columns = [
+                        pa.array([dims], pa.int64()), pa.array([len(some)], pa.int64()), pa.array([ids[some].astype("<i8").tobytes()]),
+                        pa.array([numbers[some].astype("<i8").tobytes()]), pa.array([codes[lo : lo + size].tobytes()]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["dims", "n", "ids", "numbers", "codes"])
+
+    return rows.mapInArrow(run, "dims long, n long, ids binary, numbers binary, codes binary")
+
+
+def query_file(asked: DataFrame) -> DataFrame:
+    """One row for each block of queries: (dims, query_ids, queries)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for own, exact in matrices(batch):
+                for lo in range(0, len(own), QUERY_BLOCK):
+                    columns = [
+                        pa.array([exact.shape[1]], pa.int64()), pa.array([ids[own[lo : lo + QUERY_BLOCK]].astype("<i8").tobytes()]),
+                        pa.array([exact[lo : lo + QUERY_BLOCK].astype("<i8").tobytes()]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["dims", "query_ids", "queries"])
+
+    return asked.mapInArrow(run, "dims long, query_ids binary, queries binary")
+
+
+def candidates(file: DataFrame, queries: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
+    """(query_id, id, number, low, high): what the cells alone leave, with the bounds of the score."""
+    shared = file.sparkSession.sparkContext.broadcast(cells)  # two numbers a dimension
+    # Every query block with every vector block: a stated query set against all rows, in blocks.  A length is a
+    # key that all rows may share, so the blocks are dealt to several keys of it first.
+    salt = F.pmod(F.col("block"), F.lit(SALTS))
+    met = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(file.select("dims", "block", salt.cast("int").alias("salt")), ["dims", "salt"])
+    work = met.drop("salt").join(file.drop("dims"), "block").select("dims", "n", "ids", "numbers", "codes", "query_block", "query_ids", "queries")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached: OrderedDict[int, np.ndarray] = OrderedDict()  # the k greatest lower bounds so far, by query block
+        for batch in batches:
+            for r in batch.to_pylist():
+                dims, n = r["dims"], r["n"]
+                ids, numbers, query_ids = (np.frombuffer(r[c], "<i8") for c in ("ids", "numbers", "query_ids"))
+                asked = np.frombuffer(r["queries"], "<i8").reshape(-1, dims)
+                s, down, up = shared.value[dims].scores(np.frombuffer(r["codes"], np.uint8).reshape(n, dims), asked)
+                s[query_ids[:, None] == ids[None, :]] = -np.inf
+                best = s if n <= k else np.partition(s, n - k, axis=1)[:, n - k :]
+                best = best.astype(np.float64) + down[:, None]
+                if (before := reached.pop(r["query_block"], None)) is not None:
+                    best = np.concatenate([before, best], axis=1)
+                if best.shape[1] > k:
+                    best = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k :]
+                reached[r["query_block"]] = best
+                if len(reached) > REMEMBERED:
+                    reached.popitem(last=False)
+                kth = best.min(axis=1) if best.shape[1] >= k else np.full(len(asked), -np.inf)
+                # Scores are single numbers, so the border moves down to the next one of their kind.
+                q, at = np.nonzero((s >= np.nextafter((kth - up).astype(s.dtype), -np.inf, dtype=s.dtype)[:, None]) & (s > -np.inf))
+                own = s[q, at].astype(np.float64)
+                columns = [query_ids[q], ids[at], numbers[at], own + down[q], own + up[q]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "number", "low", "high"])
+
+    return work.mapInArrow(run, "query_id long, id long, number long, low double, high double")
+
+
+def exact_scores(wanted: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``wanted`` (query_id, id, number) with the exact score; only the vectors that it names are read."""
+    pairs = wanted.select("query_id", "id", "number").join(rows.select("number", "x"), "number")
+    pairs = pairs.join(asked.select(F.col("id").alias("query_id"), F.col("x").alias("q")), "query_id").select("query_id", "id", "number", "x", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.zeros(batch.num_rows, np.int64)
+            other = batch.column("q").values.to_numpy()
+            starts = batch.column("q").offsets.to_numpy()
+            for own, x in matrices(batch.select(["x"])):
+                score[own] = np.einsum("nd,nd->n", x, other[starts[own][:, None] + np.arange(x.shape[1])])
+            columns = [*(batch.column(c) for c in ("query_id", "id", "number")), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "number", "score"])
+
+    return pairs.mapInArrow(run, "query_id long, id long, number long, score long")
+
+
+def read_in_order(found: DataFrame, rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Exact scores of the candidates that are read, in the order of their bounds, until the k-th is certain."""
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("high"), "number")
+    # The bounds of a query are equally far apart, so the k-th by one is the k-th by the other.
+    ranked = stage(found.withColumn("place", F.row_number().over(by_bound)), "va-ranked")
+    kth = ranked.filter(F.col("place") == k).select("query_id", F.col("low").alias("least"))
+    near = ranked.join(kth, "query_id", "left").filter("least is null or high >= least").drop("least")
+    first = stage(exact_scores(near.filter(F.col("place") <= 2 * k), rows, asked), "va-first")
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    sure = first.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    rest = near.filter(F.col("place") > 2 * k).join(sure, "query_id").filter("high >= reached")
+    return first.union(exact_scores(rest, rows, asked))
 
 
 def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, id_column: str = "vec_id", vector: str = "embedding", scale: int = 64, bits: int = 6) -> DataFrame:
@@ -109,32 +216,18 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20,
     floor(``scale`` * component).  Rows whose id or vector is null, whose vector is empty or
     holds a null or no finite number take no part; vectors meet only those of their length.
     ``is_query`` tells the queries by their id (of rows that share an id the least vector asks).
-    Fewer than ``k`` candidates give fewer rows; repeated rows are candidates each.
-    Scores are exact below 2^52 and 64-bit integers beyond.  Other columns are not read.
+    Fewer than ``k`` candidates give fewer rows; repeated rows are candidates each.  Scores are
+    64-bit integers.  ``bits``: 8 at most.  Other columns are not read, whatever their names.
     """
-    rows = stage(integer_vectors(vectors, id_column, vector, scale), "va-vectors")
-    least = rows.agg(F.min(F.array_min("x")), F.max(F.array_max("x")), F.count("*")).first()
-    low, high = (least[0] or 0), (least[1] or 0)
-    cells = 1 << bits
-    width = max(1.0, (high - low + 1) / cells)
-    file = stage(blocks_of(rows, VECTOR_BLOCK, low, width, cells).withColumn("block", F.monotonically_increasing_id()), "va-file")
-    asked = rows.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("x").alias("x"))
-    queries = stage(blocks_of(asked, QUERY_BLOCK, low, width, cells).select(F.col("dims"), F.col("ids").alias("query_ids"), F.col("exact").alias("queries")), "va-queries")
-    # Every query block with every vector block: a stated query set against all rows, in blocks.
-    work = queries.join(file.select("block", "dims"), "dims").join(file.drop("dims"), "block")
-    work = work.select("n", "dims", "ids", "codes", "exact", "query_ids", "queries")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                n, dims = r["n"], r["dims"]
-                ids, query_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["query_ids"], "<i8")
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(n, dims)
-                exact, asked_ = np.frombuffer(r["exact"], "<i8").reshape(n, dims), np.frombuffer(r["queries"], "<i8").reshape(-1, dims)
-                q, at, scores = search_block(ids, codes, exact, query_ids, asked_, k, low, width)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q.astype(int)]), pa.array(ids[at.astype(int)]), pa.array(scores)], names=["query_id", "id", "score"])
-
-    near = work.mapInArrow(run, "query_id long, id long, score long")
+    rows = integer_vectors(vectors, id_column, vector, scale).withColumn("number", F.monotonically_increasing_id())
+    rows = stage(rows, "va-vectors")
+    cells = ranges(rows, bits)
+    file = stage(cell_file(rows, cells).withColumn("block", F.monotonically_increasing_id()), "va-file")
+    asked = stage(rows.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("x").alias("x")), "va-asked")
+    queries = stage(query_file(asked).withColumn("query_block", F.monotonically_increasing_id()), "va-queries")
+    found = stage(candidates(file, queries, cells, k), "va-candidates")
+    near = stage(read_in_order(found, rows, asked, k), "va-read")
+    discard(file, queries, found, rows, asked)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_column), "score")
