@@ -267,6 +267,54 @@ def test_near_duplicates(docs, rows, empty, monkeypatch, blocks):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_links_between_parts_that_refuted_candidates_hold_together(spark, monkeypatch):
+    """Chains of texts whose neighbours alone are linked, so most candidates of a list are refuted."""
+    rng = random.Random(12)
+    rows, words = [], [f"w{i}" for i in range(5000)]
+    for c in range(4):
+        text = rng.sample(words, 120)
+        for k in range(25):
+            rows.append((100 * c + k, " ".join(text)))
+            for at in rng.sample(range(120), 3 if k % 4 else 5):
+                text[at] = rng.choice(words)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    told = []
+    across = minhash.linked_across
+    monkeypatch.setattr(minhash, "linked_across", lambda *a: told.append(across(*a)) or told[-1])
+    monkeypatch.setattr(minhash, "SET_BLOCK", 8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, words=3).collect()}
+    assert got == brute_components(rows, 3)
+    assert told[0] is not None
+
+
+def test_collisions_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 3, (80, minhash.K)).astype(np.uint32)
+    merger = minhash.Merger(sig)
+    for i in range(80):
+        assert merger.collisions(i).tolist() == [j for j in range(i + 1, 80) if (sig[i] == sig[j]).sum() >= minhash.T]
+
+
+def test_every_long_posting_list_is_split(spark, monkeypatch):
+    """Lists over the block size are dealt, however many of them there are: no run of one bucket is longer than two blocks."""
+    monkeypatch.setattr(minhash, "POSTING_BLOCK", 10)
+    rows = [(i, " ".join([f"c{k}" for k in range(60)] + [f"d{i}x{k}" for k in range(8)])) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    longest, runs = spark.sparkContext.accumulator(0), minhash.runs_of
+
+    def watched(batches, work):
+        def counted(keys, table):
+            if "bucket" in table.column_names:
+                longest.add(int((np.unique(keys, return_counts=True)[1] > 45).sum()))
+            return work(keys, table)
+
+        return runs(batches, counted)
+
+    monkeypatch.setattr(minhash, "runs_of", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, words=3).collect()}
+    assert got == brute_components(rows, 3) and longest.value == 0
+
+
 def test_near_duplicates_with_null_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     frame = spark.createDataFrame([(None, text), (None, text), (3, text), (3, text), (5, text + " x"), (9, None)], "doc_id long, text string")

@@ -116,23 +116,25 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         low, high = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
         return stage(rows.filter(F.col(a) != F.col(b)).select(low, high).distinct(), label + "-edges")
 
-    left, named = drawn("a", "b", edges), None
+    left, points = drawn("a", "b", edges), []
     while True:
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
-        hook = both.groupBy("node").agg(F.min("other").alias("other"))
-        hook = stage(hook.select("node", F.least("node", "other").alias("component")), label)
+        hook = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("component"))
         up = hook.select(F.col("node").alias("component"), F.col("component").alias("higher")).hint("merge")
         point = stage(hook.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), label)
-        if named is None:
-            named = point
-        else:
-            higher = point.select(F.col("node").alias("component"), F.col("component").alias("higher")).hint("merge")
-            before, named = named, stage(named.join(higher, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), label)
-            discard(before)
+        points.append(point)
         ends = left.join(point.select(F.col("node").alias("a"), F.col("component").alias("x")).hint("merge"), "a")
         ends = ends.join(point.select(F.col("node").alias("b"), F.col("component").alias("y")).hint("merge"), "b")
         before, left = left, drawn("x", "y", ends)
-        discard(before, hook, *([] if point is named else [point]))
+        discard(before)
         if left.isEmpty():
-            discard(left)
-            return named
+            break
+    named = points[0]
+    for point in points[1:]:  # what a node points at has moved on in the later rounds
+        higher = point.select(F.col("node").alias("component"), F.col("component").alias("higher")).hint("merge")
+        named = named.join(higher, "component", "left").select("node", F.coalesce("higher", "component").alias("component"))
+    if len(points) > 1:
+        named = stage(named, label)
+        discard(*points)
+    discard(left)
+    return named

@@ -5,22 +5,29 @@ A document's signature has ``K`` MinHash coordinates.  Documents are posted unde
 agree in fewer than ``T`` of ``K`` coordinates with a chance below one in a million.
 
 Prefix: to agree in T coordinates a pair must meet in the K - T + 1 pairs that come
-first in any order that holds for all documents, so only those are posted.  The order
-is by frequency (rarest first), so a document is not posted under what a common passage
-gives it unless it holds little else.  The frequent pairs are a bounded list; all others
-count as equally rare, which is still one order for all.
-
-Skip: the long lists behind the prefix are never merged; the posting carries the whole
-signature, and collisions beyond the prefix are counted by looking them up there.
-
-Pairs above the threshold are only candidates.  Their components are made first, and the
-full shingle sets of a component are then compared in blocks of documents, so every link
-rests on full sets.  Documents with the same set share one representative throughout.
+first in any order that holds for all documents, so only those are posted.  The order is
+by frequency (rarest first), counted exactly over all documents.  A pair that only one
+document holds takes its place in the prefix but is posted nowhere, so most documents are
+not posted at all, and none is posted under a common passage unless it holds little else.
+
+Merging: in a posting list, each document's collisions are counted over the lists of its
+coordinates.  The T - 1 longest of these are skipped: whoever agrees in T coordinates is
+found in one of the others, so only those are merged, and the long ones are looked up for
+the few documents found.
+
+Collisions above the threshold are candidates unless a second, cheap sketch (one
+permutation in ``BINS`` bins) refutes them; a pair at 0.8 is refuted with a chance below
+one in a million.  A list yields candidates that connect its documents, not all pairs.
+Full shingle sets confirm each candidate.  Where a refuted one was all that held two parts
+of a component together, other pairs of these parts could still be linked: such parts meet
+again in blocks, where every colliding pair between them is compared.  So every link rests
+on full sets, and no link between different texts is lost.
+
+Documents with the same shingle set are one node throughout.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,14 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHash, connected_components, discard, stage, text_bytes
+from tidemark.llm.common import WordHash, connected_components, discard, quoted, stage, text_bytes
 
 K, T = 24, 9  # coordinates; the least number that must agree
-FREQUENT = 65_536  # most frequent (coordinate, value) pairs whose counts order the prefix
+BINS = 128  # of the sketch, a byte each
+LEEWAY = 2.3  # how far below the expected number of agreeing bins a pair may lie, times the root of the bins
 POSTING_BLOCK = 1024  # documents of a long posting list that meet in one task
-SET_BLOCK = 64  # documents of a component whose full sets meet in one task
+SET_BLOCK, SET_SHINGLES = 64, 1 << 20  # documents, and their shingles, that meet in one task when parts of a component do
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7)
 
 
 def shingle_set(text: bytes, hashes: WordHash, words: int) -> np.ndarray:
@@ -63,6 +72,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The least hash of each bin, as a byte (0: the bin is empty).  Sorted hashes lie bin by bin."""
+    at = np.searchsorted(shingles, BIN_STARTS)
+    least = shingles[np.minimum(at, len(shingles) - 1)]
+    full = at < np.concatenate([at[1:], [len(shingles)]])
+    return np.where(full, least % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+
+
+def unrefuted(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which sketches may belong to sets with a similarity of 0.8 or more with that of ``one`` (rows, or one for all)."""
+    either = (one | others) != 0
+    bins = either.sum(axis=-1)
+    agree = ((one == others) & either).sum(axis=-1)
+    return agree >= 0.8 * bins - LEEWAY * np.sqrt(bins)
+
+
 def _mix(a: np.ndarray, b) -> np.ndarray:
     out = (a ^ (np.asarray(b).astype(np.uint64) * M2)) * M1
     return out ^ (out >> np.uint64(29))
@@ -89,9 +114,12 @@ def runs_of(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.Re
         yield from work(table.column(0).to_numpy(), table)
 
 
-def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect what ``linked(i, others)`` connects; pairs already connected are skipped."""
-    component, edges = np.arange(n), []
+def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray], component: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what ``linked(i, others)`` connects; pairs already connected are skipped.
+
+    ``component``: parts that are connected before.
+    """
+    component, edges = np.arange(n) if component is None else component.copy(), []
     for i in range(n - 1):
         others = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
         if not len(others):
@@ -104,13 +132,41 @@ def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tupl
     return edges
 
 
+class Merger:
+    """Counts collisions in a posting list: one list of documents for each coordinate and value in it."""
+
+    def __init__(self, sig: np.ndarray):
+        n = len(sig)
+        self.sig, self.order = sig, np.argsort(sig, axis=0, kind="stable").T.copy()
+        value = np.take_along_axis(sig.T, self.order, 1)
+        new = np.concatenate([np.ones((K, 1), bool), value[:, 1:] != value[:, :-1]], axis=1)
+        first = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
+        last = np.minimum.accumulate(np.where(np.concatenate([new[:, 1:], np.ones((K, 1), bool)], axis=1), np.arange(1, n + 1), n)[:, ::-1], axis=1)[:, ::-1]
+        self.first, self.last = np.empty((n, K), np.int64), np.empty((n, K), np.int64)
+        np.put_along_axis(self.first, self.order.T, first.T, 0)
+        np.put_along_axis(self.last, self.order.T, last.T, 0)
+
+    def collisions(self, i: int) -> np.ndarray:
+        """The documents behind ``i`` that agree with it in T coordinates or more."""
+        length = self.last[i] - self.first[i]
+        rank = np.argsort(length, kind="stable")
+        merged, skipped = rank[: K - T + 1], rank[K - T + 1 :]
+        parts = [self.order[c, self.first[i, c] : self.last[i, c]] for c in merged if length[c] > 1]
+        if not parts:
+            return np.empty(0, np.int64)
+        counts = np.bincount(np.concatenate(parts), minlength=len(self.sig))
+        found = np.flatnonzero(counts[i + 1 :]) + i + 1
+        total = counts[found] + (self.sig[found[:, None], skipped] == self.sig[i, skipped]).sum(axis=1)
+        return found[total >= T]
+
+
 def _pairs(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, signature (null without words or id)."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text).alias("_bytes"))
+    """doc_id, n_shingles, digest of the set, signature and sketch (null without words or id)."""
+    rows = docs.select(F.col(quoted(id_column)).cast("long").alias("doc_id"), text_bytes(text).alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -121,7 +177,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFr
                 sizes.append(len(own))
                 linkable = len(own) and doc_id is not None
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if linkable else None)
-                sigs.append(signature(own).tobytes() if linkable else None)
+                sigs.append(signature(own).tobytes() + sketch(own).tobytes() if linkable else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "sig"],
@@ -130,51 +186,56 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFr
     return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def _keys(batch: pa.RecordBatch, column: str = "sig") -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and their keys: the coordinate's number above the value."""
-    sig = np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint32).reshape(-1, K)
-    return sig, sig.astype(np.uint64) | (np.arange(K, dtype=np.uint64) << np.uint64(32))
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and sketches."""
+    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * K + BINS)
+    return np.ascontiguousarray(whole[:, : 4 * K]).view(np.uint32), whole[:, 4 * K :]
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` that connect all pairs with T agreeing coordinates."""
-    spark = reps.sparkSession
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(node, keys): for each node that could collide in T coordinates, its keys that other nodes hold too, with their counts."""
 
     def every_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(batch)[1].ravel().astype(np.int64))], names=["key"])
+                keys = _unpacked(batch.column(1))[0].astype(np.uint64) | (np.arange(K, dtype=np.uint64) << np.uint64(32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), K)), pa.array(keys.ravel().astype(np.int64))], names=["node", "key"])
 
-    counts = reps.select("sig").mapInArrow(every_key, "key long").groupBy("key").agg(F.count("*").alias("n"))
-    top = counts.filter("n >= 8").orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
-    frequent = spark.sparkContext.broadcast(np.array(sorted((r.key, r.n) for r in top), np.int64).reshape(-1, 2))
+    keys = nodes.select("node", "sig").mapInArrow(every_key, "node long, key long")
+    counts = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-counts")
+    own = keys.join(counts.hint("merge"), "key").groupBy("node").agg(F.collect_list(F.struct("n", "key")).alias("keys"))  # K at most
+    return own.filter(F.size("keys") >= T)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` that connect all pairs of nodes with T agreeing coordinates that no sketch refutes."""
+    shared = stage(shared_keys(nodes), "minhash-shared")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, count = frequent.value[:, 0].astype(np.uint64), frequent.value[:, 1]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                sig, keys = _keys(part)
-                ids = part.column("rep").to_numpy()
-                often = np.zeros(keys.shape, np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-                    often = np.where(common[at] == keys, count[at], 0)
-                order = np.lexsort((_mix(keys, 7), often), axis=1)[:, : K - T + 1]
-                row = np.repeat(np.arange(len(ids)), K - T + 1)
-                key, n = np.take_along_axis(keys, order, 1).ravel(), np.take_along_axis(often, order, 1).ravel()
-                blocks = np.where(n > 2 * POSTING_BLOCK, -(-n // POSTING_BLOCK), 1)
-                # A long list is dealt into blocks; each pair of blocks meets under a key of its own.
-                copy = np.repeat(np.arange(len(row)), blocks)
-                other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                row, key, many = row[copy], key[copy], blocks[copy]
-                own = (_mix(ids[row].astype(np.uint64), 3) % many.astype(np.uint64)).astype(np.int64)
-                bucket = _mix(key, np.minimum(own, other) * 1_000_003 + np.maximum(own, other))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.astype(np.int64)), pa.array(ids[row]), part.column("sig").take(pa.array(row))], names=["bucket", "rep", "sig"]
-                )
-
-    postings = reps.select("rep", "sig").mapInArrow(post, "bucket long, rep long, sig binary")
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                rows, buckets = [], []
+                for k, (node, own) in enumerate(zip(part.column("node").to_pylist(), part.column("keys").to_pylist())):
+                    # The K - len(own) keys of no one else come first in the order; the rest of the prefix is posted.
+                    own = sorted((x["n"], x["key"] * int(M1) & 0xFFFFFFFF, x["key"]) for x in own)[: len(own) - T + 1]
+                    for n, _, key in own:
+                        blocks = -(-n // POSTING_BLOCK) if n > 2 * POSTING_BLOCK else 1
+                        mine = xxhash.xxh3_64_intdigest(node.to_bytes(8, "little"), 3) % blocks
+                        # A long list is dealt into blocks; each pair of blocks meets under a key of its own.
+                        for other in range(blocks):
+                            rows.append(k)
+                            buckets.append(xxhash.xxh3_64_intdigest(f"{key} {min(mine, other)} {max(mine, other)}") - (1 << 63))
+                        if len(rows) > 8192:
+                            yield posted(part, rows, buckets)
+                            rows, buckets = [], []
+                yield posted(part, rows, buckets)
+
+    def posted(part: pa.RecordBatch, rows: list[int], buckets: list[int]) -> pa.RecordBatch:
+        held = part.select(["node", "sig"]).take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *held.columns], names=["bucket", "node", "sig"])
+
+    postings = shared.join(nodes.select("node", "sig").hint("merge"), "node").select("node", "keys", "sig").mapInArrow(post, "bucket long, node long, sig binary")
 
     def collide(keys: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -183,84 +244,121 @@ def candidates(reps: DataFrame) -> DataFrame:
         if not rows.any():
             return
         table = table.filter(pa.array(rows))
-        ids = table.column("rep").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+        ids = table.column("node").to_numpy()
+        sig, sketches = _unpacked(table.column("sig"))
         length = length[length > 1]
         starts = np.cumsum(length) - length
         end = np.repeat(starts + length, length)
         a, b = [], []
-        at = np.flatnonzero(np.repeat(length <= 12, length))
-        for lag in range(1, 12):
+        at = np.flatnonzero(np.repeat(length <= 6, length))
+        for lag in range(1, 6):  # many short lists at once: merging them is comparing them
             at = at[at + lag < end[at]]
             if not len(at):
                 break
             hit = at[(sig[at] == sig[at + lag]).sum(axis=1) >= T]
+            hit = hit[unrefuted(sketches[hit], sketches[hit + lag])]
             a += ids[hit].tolist()
             b += ids[hit + lag].tolist()
-        for s, n in zip(starts[length > 12], length[length > 12]):
-            own = sig[s : s + n]
-            for i, j in forest(int(n), lambda i, others: (own[others] == own[i]).sum(axis=1) >= T):  # noqa: B023
+        for s, n in zip(starts[length > 6], length[length > 6]):
+            merger, own = Merger(sig[s : s + n]), sketches[s : s + n]
+
+            def linked(i: int, others: np.ndarray) -> np.ndarray:
+                hits = np.isin(others, merger.collisions(i))  # noqa: B023
+                hits[hits] = unrefuted(own[i], own[others[hits]])  # noqa: B023
+                return hits
+
+            for i, j in forest(int(n), linked):
                 a.append(int(ids[s + i]))
                 b.append(int(ids[s + j]))
         if a:
             yield _pairs(a, b)
 
     met = postings.repartition("bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(lambda batches: runs_of(batches, collide), "a long, b long").filter("a != b").distinct()
+    found = met.mapInArrow(lambda batches: runs_of(batches, collide), "a long, b long").filter("a != b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, clusters: DataFrame, id_column: str, text: str, words: int, share: int) -> DataFrame:
-    """Edges between documents of a candidate component that full sets confirm."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    members = stage(clusters.join(sizes, "component"), "minhash-members")
-    rows = docs.select(F.col(id_column).cast("long").alias("node"), text_bytes(text).alias("_bytes"))
-    rows = rows.join(members, "node").select("component", "n", "node", "_bytes")
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_column: str, text: str, words: int) -> DataFrame:
+    """(node, shingles) of the given nodes (node, rep, digest): the set is made again from the text of the row that the node stands for."""
+    rows = docs.select(F.col(quoted(id_column)).cast("long").alias("rep"), text_bytes(text).alias("bytes"))
+    rows = rows.join(nodes, "rep").select("node", "digest", "bytes")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            groups, nodes, sets = [], [], []
-            for component, n, node, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            found, sets = [], []
+            for node, digest, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 own = shingle_set(content, hashes, words).tobytes()
-                if not own:  # of a row that shares its id with a document that has words
-                    continue
-                blocks = math.ceil(n / SET_BLOCK)
-                mine = xxhash.xxh3_64_intdigest(node.to_bytes(8, "little", signed=True)) % blocks
-                for other in range(blocks):
-                    lo, hi = min(mine, other), max(mine, other)
-                    groups.append(xxhash.xxh3_64_intdigest(f"{component} {lo} {hi}".encode()) - (1 << 63))
-                    nodes.append(node)
+                if xxhash.xxh3_128_digest(own) == digest:  # not so for another text with the same id
+                    found.append(node)
                     sets.append(own)
-                if len(sets) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["group", "node", "shingles"])
-                    groups, nodes, sets = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["group", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return rows.mapInArrow(run, "node long, shingles binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``, told from the full sets."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge")
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * both >= share * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+
+
+def linked_across(pairs: DataFrame, named: DataFrame, nodes: DataFrame, sets: DataFrame, share: int) -> DataFrame | None:
+    """More links, between parts of a component that only refuted candidates hold together; None if there are none such."""
+    refuted = pairs.filter("not linked").select("a", "b")
+    part = lambda end, name: named.select(F.col("node").alias(end), F.col("component").alias(name)).hint("merge")
+    open_pairs = refuted.join(part("a", "x"), "a", "left").join(part("b", "y"), "b", "left")
+    open_pairs = stage(open_pairs.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a"), "minhash-open")
+    if open_pairs.isEmpty():
+        return None
+    loose = connected_components(pairs.select("a", "b"), "minhash-loose")
+    groups = open_pairs.select(F.col("a").alias("node")).join(loose, "node").select("component").distinct()
+    members = loose.join(groups.hint("merge"), "component").select("node", F.col("component").alias("loose"))
+    members = members.join(named.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    members = stage(members.join(nodes.select("node", "n_shingles", "sig"), "node"), "minhash-members")
+    sizes = members.groupBy("loose").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n_shingles") / SET_SHINGLES)).alias("blocks"))
+    rows = members.join(sizes.hint("merge"), "loose").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("group", F.xxhash64("loose", F.least("mine", "other"), F.greatest("mine", "other")))
+    rows = rows.join(sets, "node").select("group", "node", "part", "sig", "shingles")
 
     def compare(keys: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = table.column("node").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        ids, parts = table.column("node").to_numpy(), table.column("part").to_numpy()
+        sig, sketches = _unpacked(table.column("sig"))
+        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         a, b = [], []
         for s, e in zip(starts, [*starts[1:], len(keys)]):
-            own = sets[s:e]
-            size = np.array([len(x) for x in own])
-            _, code = np.unique(np.concatenate(own), return_inverse=True)
-            begin, mark = np.cumsum(size) - size, np.zeros(code.max(initial=-1) + 1, np.int64)
+            own = sets_[s:e]
 
             def linked(i: int, others: np.ndarray) -> np.ndarray:
-                mark[:] = 0  # noqa: B023
-                mark[code[begin[i] : begin[i] + size[i]]] = 1  # noqa: B023
-                both = np.add.reduceat(mark[code], begin)[others]  # noqa: B023
-                return 100 * both >= share * (size[i] + size[others] - both)  # noqa: B023
-
-            for i, j in forest(len(own), linked):
+                hits = (sig[s + others] == sig[s + i]).sum(axis=1) >= T  # noqa: B023
+                hits[hits] = unrefuted(sketches[s + i], sketches[s + others[hits]])  # noqa: B023
+                for k in np.flatnonzero(hits):
+                    x, y = own[i], own[others[k]]  # noqa: B023
+                    both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= share * max(len(x), len(y)) else 0
+                    hits[k] = 100 * both >= share * (len(x) + len(y) - both)
+                return hits
+
+            for i, j in forest(e - s, linked, np.unique(parts[s:e], return_inverse=True)[1]):
                 a.append(int(ids[s + i]))
                 b.append(int(ids[s + j]))
         if a:
             yield _pairs(a, b)
 
-    dealt = rows.mapInArrow(deal, "group long, node long, shingles binary").repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(lambda batches: runs_of(batches, compare), "a long, b long").filter("a != b")
+    met = rows.repartition("group").sortWithinPartitions("group")
+    return stage(met.mapInArrow(lambda batches: runs_of(batches, compare), "a long, b long").filter("a != b"), "minhash-across")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, share: int = 80) -> DataFrame:
@@ -270,19 +368,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     (``share`` at least 80, for which T is set); ``component_id`` is the smallest id that
     can be reached.  A text with fewer than ``words`` words is one shingle; one without words
     (or null) is linked with nothing, and so is a row with a null id, which stays with a null
-    component_id.  Rows that share an id are one node.  Other columns are not read.
+    component_id.  Rows that share an id are judged each by its own text.  A text is held whole,
+    with eight bytes for each word, in the task that reads it.  Other columns are not read,
+    whatever their names.
     """
     if share < 80:
         raise ValueError("the match threshold holds for a share of 80 or more")
     table = stage(signatures(docs, id_column, text, words), "minhash-signatures")
-    reps = table.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"))
-    reps = stage(reps, "minhash-reps")
-    pairs = stage(candidates(reps), "minhash-candidates")
-    clusters = connected_components(pairs, "minhash-clusters")
-    confirmed = stage(links(docs, clusters, id_column, text, words, share), "minhash-links")
-    components = connected_components(confirmed, "minhash-components")
-    discard(pairs, clusters)
-    named = reps.select("digest", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    named = stage(named.select("digest", F.coalesce("component", "rep").alias("named")), "minhash-named")
-    out = table.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("named", "doc_id").alias("component_id"))
+    nodes = table.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
+    pairs = stage(candidates(nodes), "minhash-candidates")
+    ends = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "minhash-ends")
+    sets = stage(shingle_sets(docs, ends.join(nodes.select("node", "rep", "digest").hint("merge"), "node"), id_column, text, words), "minhash-sets")
+    if sets.count() > ends.count():  # repeated rows have made theirs again
+        sets = stage(sets.dropDuplicates(["node"]), "minhash-sets")
+    told = stage(confirmed(pairs, sets, share), "minhash-confirmed")
+    links = told.filter("linked").select("a", "b")
+    named = connected_components(links, "minhash-components")
+    more = linked_across(told, named, nodes, sets, share)
+    if more is not None and not more.isEmpty():
+        named = connected_components(links.union(more), "minhash-components")
+    least = named.join(nodes.select("node", "rep").hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    ids = named.join(least.hint("merge"), "component").select("node", "least")
+    ids = nodes.select("digest", "node", "rep").join(ids.hint("merge"), "node", "left").select("digest", F.coalesce("least", "rep").alias("named"))
+    ids = stage(ids, "minhash-named")
+    discard(pairs, ends, sets, told, nodes, *([more] if more is not None else []))
+    out = table.join(ids.hint("merge"), "digest", "left").select("doc_id", "n_shingles", F.coalesce("named", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
