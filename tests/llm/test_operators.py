@@ -432,6 +432,59 @@ def test_remove_repeats(docs, rows, empty, window):
     assert rlz.remove_repeats(empty).count() == 0
 
 
+def naive_parse(texts, i, window):
+    """Greedy factors of one document: at each word the longest match with any other place, if it is long enough."""
+    own, at, out = texts[i], 0, []
+    while at < len(own):
+        best = (0, None, None)
+        for j, other in texts.items():
+            for k in range(len(other)):
+                n = 0
+                while (i, at) != (j, k) and at + n < len(own) and k + n < len(other) and own[at + n] == other[k + n]:
+                    n += 1
+                best = max(best, (n, j, k), key=lambda x: x[0])
+        if best[0] >= window:
+            out.append((at, *best))
+        at += best[0] if best[0] >= window else 1
+    return out
+
+
+def test_factors_are_those_of_a_naive_parser(spark):
+    rng = random.Random(31)
+    fresh = lambda n: [f"x{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = {i: fresh(60) for i in range(12)}
+    for i in range(0, 12, 2):  # two passages stand in two documents each, between words of their own
+        one, two = fresh(rng.randint(35, 120)), fresh(rng.randint(20, 60))
+        texts[i] = texts[i][:10] + one + texts[i][10:] + two
+        texts[i + 1] = fresh(3) + one + texts[i + 1] + two[:50] + fresh(rng.randint(0, 9))
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    got = {}
+    for r in rlz.factors(frame, window=35).collect():
+        got.setdefault(r.doc, []).append((r.start, r.length, r.ref_doc, r.ref_start))
+    assert {i: sorted(v) for i, v in got.items()} == {i: f for i in texts if (f := naive_parse(texts, i, 35))}
+    assert sum(len(v) for v in got.values()) >= 12
+
+
+def test_parse_is_greedy():
+    a, b, c = (0, 50, ("a", 7)), (10, 60, ("b", 0)), (20, 100, ("c", 1))
+    assert rlz.parse([c, a, b, (120, 160, ("d", 0))]) == [(0, 50, ("a", 7)), (50, 50, ("c", 31)), (120, 40, ("d", 0))]
+
+
+def test_windows_at_the_boundaries_of_factors_are_found(spark):
+    """Three texts share an anchor's passage, two of them more than they share with the third."""
+    rng, found = random.Random(9), 0
+    for seed in range(3):
+        w = [f"y{seed}x{rng.randint(0, 10**9)}" for _ in range(60)]
+        texts = {1: w, 2: ["p"] + w[5:50] + ["q"], 3: ["r"] * 2 + w[12:60], 4: w[3:40] + ["s"] * 3}
+        texts |= {10 + i: w[i : i + 36] + [f"t{i}"] for i in range(0, 24, 3)}
+        rows = [(i, " ".join(t)) for i, t in texts.items()]
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rlz.remove_repeats(frame).collect()}
+        assert got == brute_repeats(rows, 35)
+        found += sum(r[1] for r in got.values())
+    assert found
+
+
 def test_clashing_columns(spark, docs):
     clash = docs.select("*", *(F.lit("x").alias(c) for c in ("doc", "text_key", "spans", "N_Words", "kept_text", "n", "ids", "start", "rejected", "Shard", "size", "group", "component_id")))
     n = docs.count()
