@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import text_bytes, without
+from tidemark.llm.common import nested, text_bytes, unnested, without
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -103,21 +103,22 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost: float = 0.5, min_
 
     Words are split at ASCII white space.  A null text is taken as an empty one
     (base_failed, as it has under ``min_words`` words).  Columns of ``docs`` with the
-    name of a figure are replaced.  Nothing is shuffled: each row is judged alone.
+    name of a figure are replaced.  Nothing is shuffled: each row is judged alone, with its
+    text and words held whole in the task that reads it.
     """
     names = [name for name, _ in FIELDS]
     keep = without(docs.columns, [*names, "clean_text"])
-    source = docs.select(*keep, text_bytes(text).alias("__bytes"))
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t in FIELDS), T.StructField("clean_text", T.BinaryType())])
+    source = docs.select(nested(keep), text_bytes(text).alias("bytes"))
+    schema = T.StructType([source.schema["row"], *(T.StructField(n, t) for n, t in FIELDS), T.StructField("clean_text", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [measure(t, max_lost, min_words) for t in batch.column("__bytes").to_pylist()]
+            got = [measure(t, max_lost, min_words) for t in batch.column("bytes").to_pylist()]
             figures = zip(*(g[0] for g in got)) if got else [[]] * len(names)
             columns = [pa.array(list(v), pa.bool_() if n in ("base_failed", "kept") else pa.int64()) for n, v in zip(names, figures)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *columns, pa.array([g[1] for g in got], pa.binary())], names=[*keep, *names, "clean_text"]
+                [*batch.columns[:-1], *columns, pa.array([g[1] for g in got], pa.binary())], names=["row", *names, "clean_text"]
             )
 
-    out = source.mapInArrow(run, schema)
+    out = unnested(source.mapInArrow(run, schema), keep, [*names, "clean_text"])
     return out.withColumn("clean_text", F.col("clean_text").cast("string"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stage, text_bytes, without
+from tidemark.llm.common import discard, nested, quoted, stage, text_bytes, unnested, without
 from tidemark.llm.tokens import encoder_for
 
 
@@ -202,8 +202,8 @@ TOKEN_FIELDS = "_part int, _queue string, _first long, _n long, _ids binary"
 def encode_queues(docs: DataFrame, tokenizer: str, source: Column, end_id: int, text: str) -> DataFrame:
     """Ids of each document and, for its partition, the tokens of its queue in front of it."""
     kept = [c for c in docs.columns if c != text]
-    rows = docs.select(*kept, F.spark_partition_id().alias("_part"), source.alias("_queue"), text_bytes(text).alias("_bytes"))
-    schema = T.StructType([*(docs.schema[c] for c in kept), *T._parse_datatype_string(TOKEN_FIELDS).fields])
+    rows = docs.select(nested(kept), F.spark_partition_id().alias("_part"), source.alias("_queue"), text_bytes(text).alias("_bytes"))
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(TOKEN_FIELDS).fields])
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,24 +231,26 @@ PIECE_FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequen
 
 def pack(
     docs: DataFrame, tokenizer: str, mixture: dict[str, int] | None = None, source: str = "source", text: str = "text",
-    window: int = 2048, end_id: int = 1, max_queues: int = 256, with_ids: bool = False,
+    window: int = 2048, end_id: int = 1, max_queues: int = 256, with_ids: bool = False, rest: int = 1,
 ) -> DataFrame:
     """All documents as pieces of windows of ``window`` tokens; the other columns of ``docs`` stay.
 
-    ``mixture``: integer weights by source; sources that it does not name, and all of
-    them where it is None, weigh what they hold, so that a mixture of None keeps the
-    corpus's own proportions in every window.  The ``max_queues`` largest sources and
-    all that ``mixture`` names have queues of their own; the others share one and are
-    served in it by what they hold.  A source whose share of a window is under a token
-    comes in pieces of single tokens.  A null source is a source; a null text
-    is an empty one and holds only ``end_id``.  Repeated rows are packed as often as
-    they come.  An empty table gives no pieces.  Columns of ``docs`` with the name of an
+    ``mixture``: integer weights by source (some thousands of them at most, as the driver
+    holds them); all sources that it does not name weigh ``rest`` together, in the same unit,
+    and share that by what they hold.  A mixture of None keeps the corpus's own proportions
+    in every window.  The ``max_queues`` largest sources and all that ``mixture`` names have
+    queues of their own; the others share one and are served in it by what they hold, so
+    ``max_queues`` bounds what the driver holds and changes no source's share.  A source whose
+    share of a window is under a token comes in pieces of single tokens.  A null source is a
+    source; a null text is an empty one and holds only ``end_id``; null ids stay.  Repeated
+    rows are packed as often as they come.  A text is held whole, with its ids, in the task
+    that reads it.  An empty table gives no pieces.  Columns of ``docs`` with the name of an
     added one are replaced.  ``with_ids`` adds the ids of each piece.
     """
     spark = docs.sparkSession
     added = [f.name for f in T._parse_datatype_string(PIECE_FIELDS).fields] + ["ids"]
     docs = docs.select(*without(docs.columns, added))
-    own = F.concat(F.lit("s"), F.col(source).cast("string")) if source in docs.columns else F.lit("s")
+    own = F.concat(F.lit("s"), F.col(quoted(source)).cast("string")) if source in docs.columns else F.lit("s")
     tokens = stage(encode_queues(docs, tokenizer, F.coalesce(own, F.lit("-")), end_id, text), "packing-tokens")
     sums = stage(tokens.groupBy("_part", "_queue").agg(F.sum("_n").alias("n")), "packing-sums")
     sources = sums.groupBy("_queue").agg(F.sum("n").alias("n"))
@@ -259,7 +261,10 @@ def pack(
     total, count = sources.agg(F.sum("n"), F.count("*")).first()
     queues = {q: (i, n) for i, (q, n) in enumerate(sorted({r._queue: r.n for r in own_queues}.items()))}
     totals = [n for _, n in queues.values()] + [(total or 0) - sum(n for _, n in queues.values())]
-    weights = [named.get(q, n) for q, (_, n) in queues.items()] + [totals[-1]]
+    # One unit for all: a weight of 1 is as much as the unnamed sources hold, over ``rest``.
+    unnamed = totals[-1] + sum(n for q, (_, n) in queues.items() if q not in named)
+    weights = [named[q] * max(1, unnamed) if q in named else n * (rest if named else 1) for q, (_, n) in queues.items()]
+    weights.append(totals[-1] * (rest if named else 1))
     schedule = Schedule(totals, [max(1, w) for w in weights])
     numbers = F.broadcast(spark.createDataFrame([(q, i) for q, (i, _) in queues.items()], "_queue string, _q int"))  # max_queues rows and those named at most
     # Where each partition's part of a source begins: sums before it.
@@ -273,9 +278,9 @@ def pack(
     bases = stage(bases.select("_part", "_queue", "_q", "_path", "_base"), "packing-bases")
     rows = tokens.join(bases, ["_part", "_queue"])
     kept = [c for c in docs.columns if c != text]
-    rows = rows.select(*kept, "_q", "_path", (F.col("_base") + F.col("_first")).alias("_at"), "_n", "_ids")
+    rows = rows.select("row", "_q", "_path", (F.col("_base") + F.col("_first")).alias("_at"), "_n", "_ids")
     fields = T._parse_datatype_string(PIECE_FIELDS + (", ids array<long>" if with_ids else "")).fields
-    schema = T.StructType([*(docs.schema[c] for c in kept), *fields])
+    schema = T.StructType([rows.schema["row"], *fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,8 +294,9 @@ def pack(
                     of.append(k)
                     if with_ids:
                         ids_out.append(piece.tolist())
-            held = batch.select(kept).take(pa.array(of, pa.int64())).columns if kept else []
+            held = batch.select(["row"]).take(pa.array(of, pa.int64())).columns
             new = [pa.array(list(v), pa.int64()) for v in zip(*out)] if out else [pa.array([], pa.int64())] * 6
             yield pa.RecordBatch.from_arrays([*held, *new, *([pa.array(ids_out, pa.list_(pa.int64()))] if with_ids else [])], names=schema.names)
 
-    return rows.mapInArrow(cut, schema)
+    discard(sums)
+    return unnested(rows.mapInArrow(cut, schema), kept, [f.name for f in fields])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import discard, stage, without
+from tidemark.llm.common import discard, nested, quoted, stage, unnested, without
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)  # characters of the beginnings that count beside the whole word
@@ -69,35 +69,46 @@ class Severity:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -50, 50)))
 
 
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def thresholds_of(state: np.ndarray, features: int) -> np.ndarray:
+    """Ascending: the first one, and gaps that are exponentials."""
+    return state[features] + np.concatenate([[0], np.cumsum(np.exp(state[features + 1 :]))])
+
+
+def likelihood(state: np.ndarray, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, features: int, l2: float) -> tuple[float, np.ndarray]:
+    """The mean log-likelihood of the grades, less the penalty on the weights, and its gradient."""
+    n, w, theta = len(grades), state[:features], thresholds_of(state, features)
+    score = np.bincount(rows, values * w[columns], n)
+    above = _sigmoid(score[:, None] - theta[None, :])
+    padded = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+    slope = padded * (1 - padded)
+    at = np.arange(n)
+    chance = np.maximum(padded[at, grades] - padded[at, grades + 1], 1e-12)
+    by_score = (slope[at, grades] - slope[at, grades + 1]) / chance
+    by_theta = np.zeros_like(padded)
+    by_theta[at, grades] -= slope[at, grades] / chance
+    by_theta[at, grades + 1] += slope[at, grades + 1] / chance
+    t = by_theta[:, 1:-1].sum(axis=0)
+    tails = np.cumsum(t[::-1])[::-1]  # a gap moves all thresholds behind it
+    by_weight = np.bincount(columns, values * by_score[rows], features) / n - l2 * w
+    gradient = np.concatenate([by_weight, [t.sum() / n], tails[1:] * np.exp(state[features + 1 :]) / n])
+    return float(np.log(chance).mean() - l2 / 2 * (w @ w)), gradient
+
+
 def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, features: int, levels: int, l2: float = 2e-4, steps: int = 300, rate: float = 0.1):
     """(weights, thresholds) by gradient steps on the mean log-likelihood of a sparse sample."""
-    n = len(grades)
     share = np.array([np.clip((grades > j).mean(), 1e-3, 1 - 1e-3) for j in range(levels - 1)])
     start = -np.log(share / (1 - share))
-    # thresholds = first + cumulated exp(gaps), so they ascend.
     state = np.concatenate([np.zeros(features), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     first, second = np.zeros_like(state), np.zeros_like(state)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for step in range(1, steps + 1):
-        w, gaps = state[:features], np.exp(state[features + 1 :])
-        theta = state[features] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(rows, values * w[columns], n)
-        above = sigmoid(score[:, None] - theta[None, :])
-        padded = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
-        slope = padded * (1 - padded)
-        at = np.arange(n)
-        chance = np.maximum(padded[at, grades] - padded[at, grades + 1], 1e-12)
-        by_score = (slope[at, grades] - slope[at, grades + 1]) / chance
-        by_theta = np.zeros((n, levels + 1))
-        by_theta[at, grades] -= slope[at, grades] / chance
-        by_theta[at, grades + 1] += slope[at, grades + 1] / chance
-        t = by_theta[:, 1:levels].sum(axis=0)
-        tails = np.cumsum(t[::-1])[::-1]
-        gradient = np.concatenate([np.bincount(columns, values * by_score[rows], features) / n - l2 * w, [t.sum() / n], tails[1:] * gaps / n])
+        _, gradient = likelihood(state, rows, columns, values, grades, features, l2)
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         state += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    theta = state[features] + np.concatenate([[0], np.cumsum(np.exp(state[features + 1 :]))])
-    return state[:features], theta
+    return state[:features], thresholds_of(state, features)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
@@ -187,17 +198,19 @@ def score(docs: DataFrame, model: Severity, text: str = "text") -> DataFrame:
     """``docs`` with expected_severity, p_toxic, grade (the likeliest) and rejected, row by row.
 
     The whole text counts.  A null or empty text has no words and so the chances of a text
-    without known words; it is never rejected.  Columns with those names are replaced.
+    without known words; it is never rejected.  Repeated rows are scored each; a text is held
+    whole in the task that reads it.  Columns with those names are replaced.
     """
     keep = without(docs.columns, FIELDS)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand words at most
-    schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string("expected_severity double, p_toxic double, grade int, rejected boolean").fields])
+    rows = docs.select(nested(keep), F.col(quoted(text)).alias("text"))
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("expected_severity double, p_toxic double, grade int, rejected boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            above = np.array([own.above(t or "") for t in batch.column("__text").to_pylist()]).reshape(-1, len(own.thresholds))
-            full = np.array([bool(t and t.strip()) for t in batch.column("__text").to_pylist()], bool)
+            above = np.array([own.above(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, len(own.thresholds))
+            full = np.array([bool(t and t.strip()) for t in batch.column("text").to_pylist()], bool)
             padded = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
             new = [
                 pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array((padded[:, :-1] - padded[:, 1:]).argmax(axis=1).astype(np.int32)),
@@ -205,4 +218,4 @@ def score(docs: DataFrame, model: Severity, text: str = "text") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return unnested(rows.mapInArrow(run, schema), keep, FIELDS)
