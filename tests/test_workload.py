@@ -5,6 +5,7 @@ import pytest
 
 from tidemark.plans import replay, workload
 
+NOT_IN = ["anti_not_in", "compat_not_in_ignore_null"]
 TABLES = "region nation customer supplier part orders lineitem".split()
 QUERIES = workload.queries() | replay.QUERIES
 SQL = workload.oracle_sql() | replay.ORACLE_SQL
@@ -61,3 +62,22 @@ def test_full_join_keeps_what_has_no_match(spark, sf_dir):
     rows = QUERIES["join_full_whole"](spark, sf_dir).collect()
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert sum(r.l_orderkey is not None for r in rows) == lines and sum(r.l_orderkey is None for r in rows) > 0
+
+
+@pytest.mark.parametrize("name", NOT_IN)
+def test_not_in_needs_no_broadcast_of_its_right_side(spark, sf_dir, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "LeftAnti" in plan
+
+
+@pytest.mark.parametrize("name", ["having_alias", "having_and_or", "union_in_subquery"])
+def test_conditions_select_some_rows_and_not_all(duck, name):
+    whole = {"having_alias": ("part", 25), "having_and_or": ("lineitem", 100), "union_in_subquery": ("nation", 25)}[name][1]
+    sf_dir = "/root/testdata/sf0.01"
+    tables = {t: f"(SELECT * FROM '{sf_dir}/{t}.parquet')" for t in TABLES}
+    assert 0 < len(duck.execute(workload.SHARED[name].format(**tables)).fetchall()) < whole

@@ -42,7 +42,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "tables":
         print(db.describe())
     elif args.command == "query":
-        print("\n".join(db.rows(args.sql)))
+        for row in db.rows(args.sql):
+            print(row)
     elif args.command == "execute":
         got = db.execute(args.sql)
         got.show(truncate=False) if isinstance(got, DataFrame) else print(got)
@@ -71,11 +72,11 @@ def shell(db: Database) -> None:
         held += line
         if not line.rstrip().endswith(";"):
             continue
-        verb = held.split(None, 1)[0].upper() if held.split() else ""
+        verb = held.split(None, 1)[0].rstrip(";").upper() if held.split() else ""
         try:
             got = db.execute(held.strip().rstrip(";"), session)
             got.show(truncate=False) if isinstance(got, DataFrame) else print(got)
-            session = got if verb in ("BEGIN", "START") else None if verb in ("COMMIT", "ROLLBACK;", "ROLLBACK", "COMMIT;") else session
+            session = got if verb in ("BEGIN", "START") else None if verb in ("COMMIT", "ROLLBACK") else session
         except Exception as error:  # said, and the shell goes on
             print(str(error).splitlines()[0], file=sys.stderr)
         held = ""

@@ -31,6 +31,18 @@ def not_in_ignoring_nulls(df: DataFrame, column: str, others: DataFrame, other:
     return df.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
 
 
+def not_in(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """``NOT IN (subquery)`` by the standard, without a broadcast of the subquery.
+
+    A null among ``others`` leaves no row, and a null value only stays where there are none
+    at all.  That takes two counts; the rest is an ordinary anti join, which may shuffle.
+    """
+    keys = others.select(F.col(other).alias("_key"))
+    counts = keys.agg(F.count("*").alias("_all"), F.count("_key").alias("_known"))  # one row
+    rows = df.join(F.broadcast(counts)).filter((F.col("_all") == 0) | ((F.col("_all") == F.col("_known")) & F.col(column).isNotNull()))
+    return rows.join(keys.filter("_key is not null").distinct(), F.col(column) == F.col("_key"), "left_anti").select(*df.columns)
+
+
 def group_without_nulls(df: DataFrame, *keys: str):
     """Groups of the rows in which no key is null."""
     return df.dropna(subset=list(keys)).groupBy(*keys)

@@ -36,12 +36,21 @@ def insert(table: Table, rows: DataFrame, names: list[str] | None, existing: Dat
     write(fit, table, path)
     spark = rows.sparkSession
     written = spark.read.schema(stored(fit, table).schema).parquet(path)
-    for c in table.columns:
-        if c.unique:
-            require_unique(written.select(F.col(c.stored).alias(c.name)), existing, c.name)
+    check_keys(table, written.select(*(F.col(c.stored).alias(c.name) for c in table.columns)), existing)
     return replace(table, snapshots=(*table.snapshots, path)), written.count()
 
 
+def check_keys(table: Table, new: DataFrame, existing: DataFrame | None, changed: set[str] | None = None) -> None:
+    """Uniqueness of single columns and of keys over several; ``changed``: only those that hold one of these columns."""
+    for c in table.columns:
+        if c.unique and (changed is None or c.name.lower() in changed):
+            require_unique(new, existing, c.name)
+    for key in table.keys:
+        names = [c.name for stored in key for c in table.columns if c.stored == stored]
+        if changed is None or {n.lower() for n in names} & changed:
+            require_unique(new, existing, *names)
+
+
 def touched(df: DataFrame, snapshots: tuple[str, ...], condition: str) -> tuple[list[str], int]:
     """The snapshots that hold matching rows, and how many rows match."""
     place = F.regexp_replace(F.input_file_name(), r"/[^/]*$", "")
@@ -54,14 +63,11 @@ def touched(df: DataFrame, snapshots: tuple[str, ...], condition: str) -> tuple[
 
 
 def change(table: Table, before: DataFrame, assignments: dict[str, str], condition: str) -> DataFrame:
-    """Rows after an UPDATE: expressions see the old row and are cast to their column's type."""
-    hit = before.filter(condition)
-    for name in assignments:
-        table.column(name)
+    """Rows after an UPDATE, in one pass: expressions see the old row and are cast to their column's type."""
     low = {table.column(n).name: e for n, e in assignments.items()}
-    new = hit.select(*(fitted(F.expr(low[c.name]), c) if c.name in low else F.col(quoted(c.name)) for c in table.columns))
-    kept = before.filter(f"({condition}) IS NOT TRUE")
-    return new.unionByName(kept)
+    hit = before.select("*", F.expr(condition).alias("_hit"))
+    old = lambda c: F.col(quoted(c.name))
+    return hit.select(*(F.when(F.col("_hit"), fitted(F.expr(low[c.name]), c)).otherwise(old(c)).alias(c.name) if c.name in low else old(c) for c in table.columns))
 
 
 def rewrite(table: Table, after: DataFrame, old: list[str], path: str) -> Table:

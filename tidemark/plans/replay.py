@@ -30,7 +30,7 @@ def dml_insert_select_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = _loaded(spark, sf_dir, "supplier", SUPPLIER)
     db.execute("INSERT INTO supplier (s_suppkey, s_name) VALUES (900001, 'one''s'), (0xDBBA2, 'two;2')")
     db.execute("INSERT INTO supplier SELECT s_suppkey + 2000000, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey < 5")
-    return db.query("SELECT * FROM supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    return db.query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 
 
 def dml_update_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,17 +90,39 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def star_qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``SELECT *`` under the dialect's qualified names."""
-    frames = {"n": read(spark, sf_dir, "nation"), "r": read(spark, sf_dir, "region")}
-    named = {t: df.select(*(df[c].alias(f"{t}.{c}") for c in df.columns)) for t, df in frames.items()}
-    return named["n"].join(named["r"], named["n"]["`n.n_regionkey`"] == named["r"]["`r.r_regionkey`"])
+    """``SELECT *`` over a join, under the dialect's qualified names."""
+    db = _loaded(spark, sf_dir, "nation", "CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT)")
+    db.execute("CREATE TABLE IF NOT EXISTS region (r_regionkey INT, r_name TEXT, UNIQUE (r_regionkey, r_name))")
+    db.insert("region", read(spark, sf_dir, "region"))
+    return db.query("SELECT * FROM nation n JOIN region ON n.n_regionkey = region.r_regionkey")
+
+
+def agg_default_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates without an alias, under the dialect's names."""
+    db = _loaded(spark, sf_dir, "customer", CUSTOMER)
+    return db.query("SELECT c_mktsegment, COUNT(*), count(DISTINCT c_nationkey), MIN(customer.c_custkey), max(c_acctbal) FROM customer GROUP BY c_mktsegment")
+
+
+def table_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``SELECT t.*`` beside another column, and a join of the table with itself."""
+    db = _loaded(spark, sf_dir, "supplier", SUPPLIER)
+    return db.query("SELECT a.*, b.s_suppkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+
+
+def dml_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small writes, made one snapshot; a repeated composite key is refused."""
+    db = _loaded(spark, sf_dir, "supplier", SUPPLIER)
+    for k in range(3):
+        db.execute(f"INSERT INTO supplier VALUES ({900001 + k}, 'more', {k}, 0.5)")
+    merged = db.compact("supplier")
+    return db.query(f"SELECT s_suppkey, s_name, {merged} AS merged FROM supplier")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         dml_insert_select_back, dml_update_count, dml_delete_rest, alter_add_column, txn_commit_view, txn_rollback_view,
-        fork_isolated, json_roundtrip, star_qualified,
+        fork_isolated, json_roundtrip, star_qualified, agg_default_names, table_star, dml_compact,
     )
 }
 
@@ -119,5 +141,9 @@ ORACLE_SQL = {
     "txn_rollback_view": "SELECT s_suppkey, s_name FROM supplier",
     "fork_isolated": "SELECT 'source' AS side, count(*) AS n FROM supplier UNION ALL SELECT 'fork', count(*) FROM supplier WHERE s_nationkey <= 10",
     "json_roundtrip": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
-    "star_qualified": 'SELECT n_nationkey AS "n.n_nationkey", n_name AS "n.n_name", n_regionkey AS "n.n_regionkey", r_regionkey AS "r.r_regionkey", r_name AS "r.r_name" FROM nation JOIN region ON n_regionkey = r_regionkey',
+    "star_qualified": 'SELECT CAST(n_nationkey AS BIGINT) AS "n.n_nationkey", n_name AS "n.n_name", CAST(n_regionkey AS BIGINT) AS "n.n_regionkey", CAST(r_regionkey AS BIGINT) AS "region.r_regionkey", r_name AS "region.r_name" FROM nation JOIN region ON n_regionkey = r_regionkey',
+    "agg_default_names": 'SELECT c_mktsegment, count(*) AS "COUNT(*)", count(DISTINCT c_nationkey) AS "COUNT(DISTINCT c_nationkey)", min(c_custkey) AS "MIN(c_custkey)", max(c_acctbal) AS "MAX(c_acctbal)" FROM customer GROUP BY c_mktsegment',
+    "table_star": """SELECT a.s_suppkey AS "a.s_suppkey", a.s_name AS "a.s_name", CAST(a.s_nationkey AS BIGINT) AS "a.s_nationkey", a.s_acctbal AS "a.s_acctbal", b.s_suppkey AS "b.s_suppkey"
+        FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""",
+    "dml_compact": "SELECT s_suppkey, s_name, 4 AS merged FROM supplier UNION ALL VALUES (900001, 'more', 4), (900002, 'more', 4), (900003, 'more', 4)",
 }

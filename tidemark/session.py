@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from tidemark.functions.compat import TIME_LAYOUTS
+
 #: The dialect: errors for bad casts and division by zero, double quotes around identifiers.
 DIALECT = {"spark.sql.ansi.enabled": "true", "spark.sql.ansi.doubleQuotedIdentifiers": "true", "spark.sql.session.timeZone": "UTC"}
 
@@ -19,10 +21,15 @@ def spark_session(name: str = "tidemark", **config: str) -> SparkSession:
 
 
 def dialect_session(spark: SparkSession) -> SparkSession:
-    """A session beside ``spark`` (one context) with the dialect's settings and views of its own."""
+    """A session beside ``spark`` (one context) with the dialect's settings and views of its own.
+
+    Its SQL has ``any_time(text)``: a timestamp from a text in any of the accepted layouts.
+    """
     own = spark.newSession()
     for key, value in DIALECT.items():
         own.conf.set(key, value)
+    tries = ", ".join("try_to_timestamp(t, '" + layout.replace("'", "''") + "')" for layout in TIME_LAYOUTS)
+    own.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION any_time(t STRING) RETURNS TIMESTAMP RETURN coalesce({tries})")
     return own
 
 

@@ -42,21 +42,22 @@ def import_database(db: Database, path: str) -> dict[str, int]:
 
 
 def export_archive(db: Database, path: str) -> None:
-    """A copy of the current version that can stand alone: Parquet and schemas."""
+    """A copy of the current version that can stand alone: Parquet, schemas, indexes and keys.  Owner and history stay behind."""
     for name in db.table_names():
         db.table(name).write.parquet(f"{path}/{name}")
-    schemas = [(n, json.dumps([c.as_dict() for c in db.manifest().table(n).columns])) for n in db.table_names()]
-    db.catalog.spark.createDataFrame(schemas, "name string, columns string").coalesce(1).write.json(f"{path}/_schemas")
+    held = db.manifest().tables
+    schemas = [(n, json.dumps([c.as_dict() for c in t.columns]), json.dumps([t.indexes, t.keys])) for n, t in held.items()]
+    db.catalog.spark.createDataFrame(schemas, "name string, columns string, rules string").coalesce(1).write.json(f"{path}/_schemas")
 
 
 def import_archive(catalog: Catalog, path: str, name: str) -> Database:
     """A new database from an archive."""
     spark, manifest = catalog.spark, Manifest(version=-1)
-    for row in spark.read.schema("name string, columns string").json(f"{path}/_schemas").collect():
+    for row in spark.read.schema("name string, columns string, rules string").json(f"{path}/_schemas").collect():
         columns = tuple(ColumnDef(**c) for c in json.loads(row["columns"]))
         snapshot = catalog.new_snapshot(name, row.name)
         frame = spark.read.schema(", ".join(f"{quoted(c.name)} {c.spark_type}" for c in columns)).parquet(f"{path}/{row.name}")
         frame.select(*(F.col(quoted(c.name)).alias(c.stored) for c in columns)).write.parquet(snapshot)
-        manifest = manifest.with_table(row.name, Table(columns, (snapshot,)))
+        manifest = manifest.with_table(row.name, Table(columns, (snapshot,), *(tuple(tuple(x) for x in rule) for rule in json.loads(row.rules or "[[], []]"))))
     catalog.publish(name, manifest)
     return Database(spark, catalog.root, name)
