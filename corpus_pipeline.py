@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept;
 its result is written as Parquet and read again as the next one's ``docs``.  All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; extra columns stay as they are, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -12,27 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import linequality, minhash, packing, rlz, toxicity
-from tidemark.llm.common import stage
+from tidemark.llm.common import nested, stage
 
 
-def _with_text(docs: DataFrame, cleaned: DataFrame, column: str) -> DataFrame:
-    """The columns of ``docs``, with the cleaned text (null where it was null) and its length."""
-    text = F.when(F.col("text").isNotNull(), F.col(column))
-    cleaned = cleaned.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all other columns in the struct ``row``, where no operator's names can clash with theirs."""
+    return docs.select("doc_id", "text", nested([c for c in docs.columns if c.lower() not in ("doc_id", "text")]))
+
+
+def _columns_of(docs: DataFrame, apart: DataFrame, cleaned: str | None = None) -> DataFrame:
+    """The columns of ``docs`` again; with ``cleaned`` that text (null where it was null) and its length."""
+    text = F.when(F.col("text").isNotNull(), F.col(cleaned)) if cleaned else F.col("text")
+    given = {"doc_id": F.col("doc_id"), "text": text}
+    if cleaned:
+        given["n_chars"] = F.coalesce(F.length(text), F.lit(0))
+    return apart.select(*(given.get(f.name.lower(), F.col("row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on the labelled ones, does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("not rejected").select(*docs.columns)
+    return _columns_of(docs, toxicity.score(_apart(docs), model).filter("not rejected"))
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep enough of their lines, without the lines that fail."""
-    return _with_text(docs, linequality.clean_lines(docs).filter("kept"), "clean_text")
+    return _columns_of(docs, linequality.clean_lines(_apart(docs)).filter("kept"), "clean_text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,24 +48,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own; of those in one group the text with the smallest hash stays.  Of rows with the same
     id and text one stays, the smallest by the other columns in their order.
     """
-    known = docs.filter("doc_id is not null").withColumn("__key", F.xxhash64("text"))
-    clashes = known.groupBy("doc_id").agg(F.min("__key").alias("low"), F.max("__key").alias("high")).filter("low < high")
+    known = _apart(docs.filter("doc_id is not null")).withColumn("key", F.xxhash64("text"))
+    clashes = known.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
     if clashes.isEmpty():
         kept = minhash.near_duplicates(docs, words=5, share=80).filter("kept and doc_id is not null").select("doc_id").distinct()
     else:  # nodes numbered in the order of ids: the sort's partitions are in order, and so are the numbers
-        nodes = known.select("doc_id", "__key").distinct().orderBy("doc_id", "__key").withColumn("__node", F.monotonically_increasing_id())
+        nodes = known.select("doc_id", "key").distinct().orderBy("doc_id", "key").withColumn("node", F.monotonically_increasing_id())
         nodes = stage(nodes, "pipeline-nodes")
-        numbered = known.join(nodes, ["doc_id", "__key"]).select(F.col("__node").alias("doc_id"), "text")
-        groups = minhash.near_duplicates(numbered, words=5, share=80).filter("kept").select(F.col("doc_id").alias("__node"))
-        kept = nodes.join(groups, "__node", "left_semi").select("doc_id", "__key")
-    one_each = known.join(kept, kept.columns, "left_semi").groupBy("doc_id", "__key").agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return one_each.select("__row.*").union(docs.filter("doc_id is null")).select(*docs.columns)
+        numbered = known.join(nodes, ["doc_id", "key"]).select(F.col("node").alias("doc_id"), "text")
+        groups = minhash.near_duplicates(numbered, words=5, share=80).filter("kept").select(F.col("doc_id").alias("node"))
+        kept = nodes.join(groups, "node", "left_semi").select("doc_id", "key")
+    one_each = known.join(kept, kept.columns, "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct("row", "text")).alias("first"))
+    return _columns_of(docs, one_each.select("doc_id", "first.*")).union(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand elsewhere too; those of which nothing is left go."""
-    cut = rlz.remove_repeats(docs).filter("n_removed = 0 or n_removed < n_words")
-    return _with_text(docs, cut, "kept_text")
+    cut = rlz.remove_repeats(_apart(docs)).filter("n_removed = 0 or n_removed < n_words")
+    return _columns_of(docs, cut, "kept_text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
