@@ -98,3 +98,19 @@ def test_each_stage_against_plain_python(spark, tmp_path):
         assert hashlib.sha256(" ".join(r.text.split()).encode()).hexdigest() == repeats[i][2]
         assert (r.lang, r.source, r.n_chars) == ("en", f"s{i % 3}", len(r.text))
     check_pieces(stages[4](spark, docs, tmp_path).collect(), [(i, r.text) for i, r in got.items()], 2048)
+
+
+def test_stages_leave_extra_columns_with_clashing_names_alone(spark, tmp_path):
+    extra = ["grade", "rejected", "expected_severity", "kept", "clean_text", "n_words", "n_removed", "kept_text", "row", "key", "__key", "node", "first", "low", "bytes", "a.b"]
+    prose = lambda p: "\n".join(" ".join(f"{p}q{k}" for k in range(i, i + 12)) + "." for i in range(0, 72, 12))
+    texts = [(1, prose("a")), (2, prose("b")), (2, prose("c")), (3, prose("a")), (4, prose("d")), (4, prose("d"))]
+    rows = [(i, t, "en", "s", len(t), *(f"own {i} {c}" for c in extra)) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = [texts, texts, [texts[k] for k in (0, 1, 2, 4)], [texts[k] for k in (0, 1, 2, 4)]]
+    for (_, function), want in zip(corpus_pipeline.STAGES, left):
+        docs = function(spark, docs, tmp_path).cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra]
+        assert sorted(map(tuple, docs.collect())) == sorted((i, t, "en", "s", len(t), *(f"own {i} {c}" for c in extra)) for i, t in want)
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, tmp_path).collect()} == {1, 2, 4}

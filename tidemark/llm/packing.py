@@ -249,7 +249,7 @@ def pack(
     """
     spark = docs.sparkSession
     added = [f.name for f in T._parse_datatype_string(PIECE_FIELDS).fields] + ["ids"]
-    docs = docs.select(*without(docs.columns, added))
+    docs = docs.select(*map(quoted, without(docs.columns, added)))
     own = F.concat(F.lit("s"), F.col(quoted(source)).cast("string")) if source in docs.columns else F.lit("s")
     tokens = stage(encode_queues(docs, tokenizer, F.coalesce(own, F.lit("-")), end_id, text), "packing-tokens")
     sums = stage(tokens.groupBy("_part", "_queue").agg(F.sum("_n").alias("n")), "packing-sums")
