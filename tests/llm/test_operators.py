@@ -527,7 +527,7 @@ INNER_NAMES = """row bytes doc text_key spans anchor content first windows lead
 
 
 def test_clashing_columns(spark, docs):
-    names = list(dict.fromkeys(n for n in INNER_NAMES if n.lower() not in ("kept",)))
+    names = list(dict.fromkeys(n for n in [*INNER_NAMES, "a.b"] if n.lower() not in ("kept",)))
     clash = docs.limit(40).select("*", *(F.lit("mine").alias(c) for c in names)).cache()
     n = clash.count()
 

@@ -125,7 +125,7 @@ def assign_shards(
     tells how finely bytes are balanced and how many tasks number the slots; the driver
     holds some tens of sampled keys for each range.
     """
-    records = records.select(*without(records.columns, ["shard", "slot"]))
+    records = records.select(*map(quoted, without(records.columns, ["shard", "slot"])))
     spark, ranges = records.sparkSession, shards * ranges_per_shard
     keyed = records.select(
         nested(records.columns),
