@@ -260,6 +260,28 @@ def test_exact_vectors_are_read_by_bound(spark, monkeypatch, dims):
     assert read[0] <= 30 * 10 and sum(read) < 0.1 * 30 * 599  # the first 2 k of each query, then those still open
 
 
+def test_candidates_do_not_grow_with_the_tasks(spark, monkeypatch):
+    """Every block in a task of its own: each begins with the bound of the blocks scanned first."""
+    monkeypatch.setattr(vafile, "VECTOR_BLOCK", 50)
+    monkeypatch.setattr(vafile, "REMEMBERED", 0)
+    x = np.random.default_rng(5).normal(0, 0.3, (4000, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    counts, whole = [], vafile.candidates
+
+    def counted(file, queries, cells, k):
+        found = common.stage(whole(file, queries, cells, k), "counted")
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(vafile, "candidates", counted)
+    got = vafile.top_k(frame, lambda i: i % 400 == 0, k=5).collect()
+    exact = np.floor(64 * x.astype(float)).astype(int)
+    for q in range(0, 4000, 400):
+        best = sorted((-int(exact[q] @ exact[i]), i) for i in range(4000) if i != q)[:5]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert counts[0] < 10 * 5 * 40  # 80 blocks without a bound leave 5 each at least
+
+
 def test_top_k_of_large_numbers_repeated_ids_and_clashing_names(spark):
     rows = [(20, [3e7, -1.0]), (20, [1.0, 2.0]), (1, [2.0, 5.0]), (1, [2.0, 5.0]), (2, [-4e7, 7.0])]
     frame = spark.createDataFrame([(i, v, "x", "y", "z") for i, v in rows], "vec_id long, embedding array<double>, number string, block string, codes string")

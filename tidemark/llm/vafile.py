@@ -7,8 +7,10 @@ max(q * lo, q * hi) to the inner product.  As the cells of a dimension are equal
 bounds of a query lie at a fixed distance from ``sum(q * lo)``, so one product of small
 numbers gives them for a block of vectors.
 
-The k-th greatest lower bound found so far goes along from block to block in a task, and only
-vectors whose upper bound reaches it become candidates; the k-th over all tasks drops more.
+A part of the blocks is scanned first, for a lower bound of each query's k-th score that every
+task begins with.  The k-th greatest lower bound found so far goes along from block to block in
+a task, and only vectors whose upper bound reaches both become candidates; the k-th over all
+tasks drops more.
 Exact vectors are then read in the order of their bounds: the best ``2 * k`` first, whose
 k-th score tells which others could still be among the best; only those are read as well.
 The result is that of a full scan, ties included.
@@ -30,6 +32,7 @@ BLOCK_CELLS = 1 << 19  # cells of a vector block at most, whatever the number of
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
 REMEMBERED = 64  # query blocks whose bounds a task carries along; forgetting one costs candidates, not results
 SALTS = 64
+SEEDS = 8  # one vector block of so many is scanned first, for bounds to begin with
 
 
 def integer_vectors(vectors: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
@@ -140,41 +143,96 @@ def query_file(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, "dims long, query_ids binary, queries binary")
 
 
+def met(file: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every query block with every vector block of its length: a stated query set against all rows, in blocks.
+
+    A length is a key that all rows may share, so the blocks are dealt to several keys of it first.
+    """
+    salt = F.pmod(F.col("block"), F.lit(SALTS))
+    salted = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = salted.join(file.select("dims", "block", salt.cast("int").alias("salt")), ["dims", "salt"])
+    return pairs.drop("salt").join(file.drop("dims"), "block").select("n", "ids", "numbers", "codes", *queries.columns)
+
+
+class Meeting:
+    """A query block and a vector block: scores by cells with their bounds, and the k greatest lower bounds of each query."""
+
+    def __init__(self, row: dict, cells: dict[int, Cells], k: int):
+        dims, n = row["dims"], row["n"]
+        self.ids, self.numbers, self.query_ids = (np.frombuffer(row[c], "<i8") for c in ("ids", "numbers", "query_ids"))
+        asked = np.frombuffer(row["queries"], "<i8").reshape(-1, dims)
+        self.s, self.down, self.up = cells[dims].scores(np.frombuffer(row["codes"], np.uint8).reshape(n, dims), asked)
+        self.s[self.query_ids[:, None] == self.ids[None, :]] = -np.inf
+        self.low = greatest(self.s, k).astype(np.float64) + self.down[:, None]
+
+
+def greatest(x: np.ndarray, k: int) -> np.ndarray:
+    return x if x.shape[1] <= k else np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k :]
+
+
+def floors(file: DataFrame, queries: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
+    """(query_block, floors): for its queries, the k-th greatest lower bound over a part of the vector blocks.
+
+    One block of ``SEEDS``, told by a hash, and one of each length at least.  A bound that k
+    vectors reach holds for all vectors, so with it no task begins without one, and what a
+    query leaves as candidates does not grow with the number of tasks.
+    """
+    shared = file.sparkSession.sparkContext.broadcast(cells)
+    order = F.xxhash64("block")
+    least = F.broadcast(file.groupBy("dims").agg(F.min(order).alias("least")))  # a row for each length, as in ``cells``
+    part = file.join(least, "dims").filter((F.pmod(order, F.lit(SEEDS)) == 0) | (order == F.col("least"))).drop("least")
+
+    def told(query_block: int, query_ids: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        q, at = np.nonzero(low > -np.inf)
+        columns = [np.full(len(q), query_block), query_ids[q], low[q, at]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_block", "query_id", "low"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = Meeting(r, shared.value, k)
+                _, before = reached.pop(r["query_block"], (None, own.low[:, :0]))
+                reached[r["query_block"]] = own.query_ids, greatest(np.concatenate([before, own.low], axis=1), k)
+                if len(reached) > REMEMBERED:
+                    block, held = reached.popitem(last=False)
+                    yield told(block, *held)
+        for block, held in reached.items():
+            yield told(block, *held)
+
+    found = met(part, queries).mapInArrow(run, "query_block long, query_id long, low double")
+    nth = F.row_number().over(Window.partitionBy("query_block", "query_id").orderBy(F.desc("low")))
+    kth = found.withColumn("nth", nth).filter(F.col("nth") == k)
+    return kth.groupBy("query_block").agg(F.collect_list(F.struct("query_id", "low")).alias("floors"))  # QUERY_BLOCK at most
+
+
 def candidates(file: DataFrame, queries: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
     """(query_id, id, number, low, high): what the cells alone leave, with the bounds of the score."""
     shared = file.sparkSession.sparkContext.broadcast(cells)  # two numbers a dimension
-    # Every query block with every vector block: a stated query set against all rows, in blocks.  A length is a
-    # key that all rows may share, so the blocks are dealt to several keys of it first.
-    salt = F.pmod(F.col("block"), F.lit(SALTS))
-    met = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(file.select("dims", "block", salt.cast("int").alias("salt")), ["dims", "salt"])
-    work = met.drop("salt").join(file.drop("dims"), "block").select("dims", "n", "ids", "numbers", "codes", "query_block", "query_ids", "queries")
+    begun = stage(queries.join(floors(file, queries, cells, k), "query_block", "left"), "va-floors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached: OrderedDict[int, np.ndarray] = OrderedDict()  # the k greatest lower bounds so far, by query block
         for batch in batches:
             for r in batch.to_pylist():
-                dims, n = r["dims"], r["n"]
-                ids, numbers, query_ids = (np.frombuffer(r[c], "<i8") for c in ("ids", "numbers", "query_ids"))
-                asked = np.frombuffer(r["queries"], "<i8").reshape(-1, dims)
-                s, down, up = shared.value[dims].scores(np.frombuffer(r["codes"], np.uint8).reshape(n, dims), asked)
-                s[query_ids[:, None] == ids[None, :]] = -np.inf
-                best = s if n <= k else np.partition(s, n - k, axis=1)[:, n - k :]
-                best = best.astype(np.float64) + down[:, None]
-                if (before := reached.pop(r["query_block"], None)) is not None:
-                    best = np.concatenate([before, best], axis=1)
-                if best.shape[1] > k:
-                    best = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k :]
-                reached[r["query_block"]] = best
+                own = Meeting(r, shared.value, k)
+                before = reached.pop(r["query_block"], own.low[:, :0])
+                best = reached[r["query_block"]] = greatest(np.concatenate([before, own.low], axis=1), k)
                 if len(reached) > REMEMBERED:
                     reached.popitem(last=False)
-                kth = best.min(axis=1) if best.shape[1] >= k else np.full(len(asked), -np.inf)
+                # The floor is apart from these: it may stem from vectors that this task meets as well.
+                floor = {f["query_id"]: f["low"] for f in r["floors"] or ()}
+                kth = np.array([floor.get(q, -np.inf) for q in own.query_ids.tolist()])
+                if best.shape[1] >= k:
+                    kth = np.maximum(kth, best.min(axis=1))
                 # Scores are single numbers, so the border moves down to the next one of their kind.
-                q, at = np.nonzero((s >= np.nextafter((kth - up).astype(s.dtype), -np.inf, dtype=s.dtype)[:, None]) & (s > -np.inf))
-                own = s[q, at].astype(np.float64)
-                columns = [query_ids[q], ids[at], numbers[at], own + down[q], own + up[q]]
+                border = np.nextafter((kth - own.up).astype(own.s.dtype), -np.inf, dtype=own.s.dtype)
+                q, at = np.nonzero((own.s >= border[:, None]) & (own.s > -np.inf))
+                score = own.s[q, at].astype(np.float64)
+                columns = [own.query_ids[q], own.ids[at], own.numbers[at], score + own.down[q], score + own.up[q]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "number", "low", "high"])
 
-    return work.mapInArrow(run, "query_id long, id long, number long, low double, high double")
+    return met(file, begun).mapInArrow(run, "query_id long, id long, number long, low double, high double")
 
 
 def exact_scores(wanted: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
